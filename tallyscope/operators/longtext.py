@@ -1,0 +1,59 @@
+"""Value counts of a column of long texts, exact, with little to shuffle.
+
+Grouping by the text itself moves every distinct text through the shuffle. Most
+long texts occur once, and for those only their number is wanted. So rows are
+first grouped by a 64-bit hash: a hash seen on one row proves its text occurs
+once. Only rows whose hash repeats are then grouped by their text, so a hash
+collision costs a little work and never a wrong count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyscope.functions.columns import text
+from tallyscope.operators.categories import folded
+from tallyscope.operators.selection import Selection
+from tallyscope.sources.scratch import ensure_checkpoint_dir
+
+# Repeated hashes sent to every executor at most; 8 bytes each plus overhead.
+BROADCAST_HASHES = 1_000_000
+
+
+def value_counts_long_text(
+    base: DataFrame,
+    column: str,
+    selection: Selection = Selection(),
+    broadcast_hashes: int = BROADCAST_HASHES,
+) -> DataFrame:
+    """Same rows as ``value_counts``."""
+    ensure_checkpoint_dir(base.sparkSession)
+    seen = selection.excluding(column).apply(base)
+    rows = seen.select(text(base, column).alias("v")).withColumn(
+        "h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))
+    )
+    by_hash = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    lone = (F.col("n") == 1) & F.col("h").isNotNull()
+    # One row per repeated hash, one for all lone hashes, one for NULL. Written
+    # once: it is read three times below, and its size decides the join.
+    marks = (
+        by_hash.groupBy(lone.alias("lone"), F.when(~lone, F.col("h")).alias("h"))
+        .agg(F.sum("n").alias("n"))
+        .checkpoint(eager=True)
+    )
+    repeated = marks.where("NOT lone AND h IS NOT NULL").select("h")
+    few = repeated.count() <= broadcast_hashes
+    again = rows.join(F.broadcast(repeated) if few else repeated, "h", "left_semi")
+    counts = again.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    settled = marks.where("lone OR h IS NULL").select(
+        F.when(F.col("lone"), "unique").otherwise("null").alias("kind"),
+        F.lit(None).cast("string").alias("key"),
+        F.col("n").alias("total"),
+    )
+    return (
+        folded(counts)
+        .unionByName(settled)
+        .groupBy("kind", "key")
+        .agg(F.sum("total").alias("total"))
+    )

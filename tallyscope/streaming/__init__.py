@@ -1,0 +1 @@
+"""Empty on purpose: the profiler reads bounded tables, there is nothing to stream."""
