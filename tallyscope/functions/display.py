@@ -120,6 +120,7 @@ def duration_text(c: Column, unit: str) -> Column:
 def interval_text(c: Column, dtype: T.DataType) -> Column:
     """ISO-8601 text of Spark's interval types."""
     if isinstance(dtype, T.YearMonthIntervalType):
+        c = c.cast("interval year to month")
         months = (F.extract(F.lit("YEAR"), c) * 12 + F.extract(F.lit("MONTH"), c)).cast("bigint")
         sign = F.when(months < 0, "-").otherwise("")
         size = F.abs(months)
@@ -129,6 +130,7 @@ def interval_text(c: Column, dtype: T.DataType) -> Column:
             F.when(year > 0, F.concat(year.cast("string"), F.lit("Y"))).otherwise(""),
             F.when((month > 0) | (year == 0), F.concat(month.cast("string"), F.lit("M"))).otherwise(""),
         )
+    c = c.cast("interval day to second")
     part = {p: F.extract(F.lit(p), c) for p in ("DAY", "HOUR", "MINUTE", "SECOND")}
     seconds = part["DAY"] * 86400 + part["HOUR"] * 3600 + part["MINUTE"] * 60
     micros = seconds.cast("bigint") * 1_000_000 + (part["SECOND"] * 1_000_000).cast("bigint")
@@ -188,4 +190,8 @@ def percent_text(fraction: Column) -> Column:
     def shown(digits: int) -> Column:
         return F.concat(F.format_string(f"%.{digits}f", F.round(hundred, digits)), F.lit("%"))
 
-    return F.when(fraction >= 0.1, shown(0)).when(fraction >= 0.01, shown(1)).otherwise(shown(2))
+    return (
+        F.when(fraction >= 0.1, shown(0))
+        .when(fraction >= 0.01, shown(1))
+        .when(fraction.isNotNull(), shown(2))
+    )

@@ -706,7 +706,7 @@ def pct_label_small(spark, folder):
 
 
 def _sql_number(x: str) -> str:
-    return f"regexp_replace(format('{{:,.3f}}', {x}), '\\.?0+$', '')"
+    return f"case when {x} = 0 then '0' else regexp_replace(format('{{:,.3f}}', {x}), '\\.?0+$', '') end"
 
 
 @query(
@@ -755,8 +755,8 @@ def fmt_preview(spark, folder):
     "fmt_list",
     """
 select format('{:,}', vec_id) as vec_id,
-       '[' || array_to_string(list_transform(embedding[1:5],
-              x -> regexp_replace(cast(cast(x as double) as varchar), '\\.0$', '')), ', ')
+       '[' || array_to_string([regexp_replace(cast(cast(x as double) as varchar), '\\.0$', '')
+                               for x in embedding[1:5]], ', ')
            || case when len(embedding) > 5 then ', ...' else '' end || ']' as embedding,
        '[' || "label" || ', ' || vec_id || ']' as short
 from embeddings
@@ -787,13 +787,14 @@ def fmt_nested(spark, folder):
 @query(
     "fmt_binary",
     """
-select 'b''' || array_to_string(list_transform(
-         list_filter(range(1, 33), i -> i <= octet_length(encode("text"))),
-         i -> case when ascii(chr(cast('0x' || hex(encode("text"))[2*i-1:2*i] as int))) between 32 and 126
-                   then chr(cast('0x' || hex(encode("text"))[2*i-1:2*i] as int))
-                   else '\\x' || lower(hex(encode("text"))[2*i-1:2*i]) end), '')
-       || case when octet_length(encode("text")) > 32 then '...' else '' end || '''' as b
-from benchmark
+with h as (select hex(encode("text")) h, octet_length(encode("text")) n from benchmark)
+select 'b''' || array_to_string(
+         [case when cast('0x' || h[2*i-1:2*i] as int) between 32 and 126
+               then chr(cast('0x' || h[2*i-1:2*i] as int))
+               else '\\x' || lower(h[2*i-1:2*i]) end
+          for i in range(1, 1 + least(n, 32))], '')
+       || case when n > 32 then '...' else '' end || '''' as b
+from h
 """,
 )
 def fmt_binary(spark, folder):
