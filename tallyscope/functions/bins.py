@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions.sqltext import double_literal, quote_name
@@ -21,6 +19,7 @@ STEPS = 18
 # Bin index of NaN and the infinities. A finite value never gets it: the
 # index is at most STEPS * 2**53 away from zero.
 NONFINITE = -(2**63)
+NONFINITE_SQL = f"(-{2**63 - 1}L - 1L)"
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 EPOCH_MONTH = 1970 * 12
@@ -55,7 +54,7 @@ class NumberBins:
         if not isinstance(dtype, (T.FloatType, T.DoubleType)):
             return k
         # NaN and the infinities are exactly the values with x - x <> 0.
-        return f"CASE WHEN {x} - {x} = 0D THEN {k} WHEN {x} IS NOT NULL THEN {_long(NONFINITE)} END"
+        return f"CASE WHEN {x} - {x} = 0D THEN {k} WHEN {x} IS NOT NULL THEN {NONFINITE_SQL} END"
 
     def edge(self, k: int) -> float:
         return self.origin + k * self.step
@@ -70,32 +69,25 @@ class DateBins:
 
     def index_sql(self, name: str, dtype: T.DataType, exact: bool = False) -> str:
         if self.months:
-            at, width = _month_sql(name, dtype), self.months
+            at, width = _month_sql(quote_name(name), dtype), self.months
         else:
-            at, width = micros_sql(name, dtype), self.micros
+            at, width = micros_sql(quote_name(name), dtype), self.micros
         return f"(({at} - pmod({at}, {width}L)) div {width}L)"
 
 
-def _long(value: int) -> str:
-    # The smallest bigint has no literal of its own.
-    return f"(-{2**63 - 1}L - 1L)" if value == NONFINITE else f"{value}L"
-
-
-def micros_sql(name: str, dtype: T.DataType) -> str:
+def micros_sql(value: str, dtype: T.DataType) -> str:
     """Microseconds since the epoch in UTC, whatever the session time zone."""
-    c = quote_name(name)
     if isinstance(dtype, T.DateType):
-        return f"(unix_date({c}) * {_DAY}L)"
+        return f"(unix_date({value}) * {_DAY}L)"
     if isinstance(dtype, T.TimestampType):
-        return f"unix_micros({c})"
-    return f"timestampdiff(MICROSECOND, {EPOCH}, {c})"
+        return f"unix_micros({value})"
+    return f"timestampdiff(MICROSECOND, {EPOCH}, {value})"
 
 
-def _month_sql(name: str, dtype: T.DataType) -> str:
-    c = quote_name(name)
+def _month_sql(value: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.TimestampType):
-        c = f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH})"
-    return f"CAST(year({c}) * 12 + month({c}) - 1 AS BIGINT)"
+        value = f"timestampadd(MICROSECOND, unix_micros({value}), {EPOCH})"
+    return f"CAST(year({value}) * 12 + month({value}) - 1 AS BIGINT)"
 
 
 def number_bins(lo: float | None, hi: float | None, steps: int = STEPS) -> NumberBins:
@@ -147,13 +139,15 @@ def date_bins(lo: int | None, hi: int | None, steps: int = STEPS) -> DateBins:
     return min(candidates, key=lambda c: max(c[0] / target, target / c[0]))[1]
 
 
-def timestamp_of_micros(micros: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH))
+def number_edge_sql(k: str, step: str, origin: str) -> str:
+    """Start of number bin ``k``; NULL for the bin of NaN and the infinities."""
+    return f"CASE WHEN k <> {NONFINITE_SQL} THEN {origin} + {k} * {step} END"
 
 
-def date_edge(k: Column, micros: Column, months: Column) -> Column:
+def date_edge_sql(k: str, micros: str, months: str) -> str:
     """Start of date bin ``k``; exactly one of ``micros`` and ``months`` is not 0."""
-    by_months = F.timestamp_add(
-        "MONTH", (k * months - F.lit(EPOCH_MONTH)).cast("int"), F.expr(EPOCH)
+    return (
+        f"CASE WHEN {months} > 0 "
+        f"THEN timestampadd(MONTH, CAST({k} * {months} - {EPOCH_MONTH}L AS INT), {EPOCH}) "
+        f"ELSE timestampadd(MICROSECOND, {k} * {micros}, {EPOCH}) END"
     )
-    return F.when(months > 0, by_months).otherwise(timestamp_of_micros(k * micros))

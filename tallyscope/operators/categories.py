@@ -7,7 +7,7 @@ form, ``rest``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.operators.longform import long_counts, text_values
@@ -16,20 +16,20 @@ from tallyscope.operators.selection import Selection
 TOP = 20
 
 
-def folded(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+def folded(counts: DataFrame) -> DataFrame:
     """Fold ``(v, n, ...)`` into ``(kind, key, total)``.
 
     The first grouping has already brought each value to one row; here all
     values seen once meet in one row, pre-summed on the map side.
     """
-    by = by or []
-    lone = (F.col("n") == 1) & F.col("v").isNotNull()
-    kind = F.when(F.col("v").isNull(), "null").when(lone, "unique").otherwise("value")
-    key = F.when(~lone, F.col("v"))
-    totals = [F.sum("n").alias("total")]
+    lone = "n = 1 AND v IS NOT NULL"
+    totals = ["sum(n) AS total"]
     if "f" in counts.columns:
-        totals.append(F.sum("f").alias("filtered"))
-    return counts.groupBy(*by, kind.alias("kind"), key.alias("key")).agg(*totals)
+        totals.append("sum(f) AS filtered")
+    return counts.groupBy(
+        F.expr(f"CASE WHEN v IS NULL THEN 'null' WHEN {lone} THEN 'unique' ELSE 'value' END AS kind"),
+        F.expr(f"CASE WHEN {lone} THEN NULL ELSE v END AS key"),
+    ).agg(*[F.expr(t) for t in totals])
 
 
 def value_counts(
@@ -39,10 +39,8 @@ def value_counts(
 
     Singletons are decided on the filtered rows.
     """
-    counts = long_counts(
-        base, text_values(base, {0: column}), selection, "v", filtered_only=True
-    )
-    return folded(counts)
+    values = text_values(base, {0: column})
+    return folded(long_counts(base, values, selection, "v", filtered_only=True))
 
 
 def value_counts_compare(base: DataFrame, column: str, selection: Selection) -> DataFrame:
@@ -52,41 +50,28 @@ def value_counts_compare(base: DataFrame, column: str, selection: Selection) ->
     row keeps its own key.
     """
     counts = long_counts(base, text_values(base, {0: column}), selection, "v")
-    return folded(counts).withColumn("fraction", F.col("filtered") / F.col("total"))
+    return folded(counts).selectExpr("*", "filtered / total AS fraction")
 
 
 def bar_totals(counts: DataFrame) -> DataFrame:
     """One row about the folded counts: what a bar chart of them needs."""
-    kind = F.col("kind")
-
-    def total(which: str) -> Column:
-        return F.coalesce(F.sum(F.when(kind == which, F.col("total"))), F.lit(0).cast("bigint"))
-
-    return counts.agg(
-        F.count_if(kind == "value").alias("n_values"),
-        total("null").alias("null_count"),
-        total("unique").alias("unique_count"),
-        F.coalesce(F.sum("total"), F.lit(0).cast("bigint")).alias("total"),
+    return counts.selectExpr(
+        "count_if(kind = 'value') AS n_values",
+        "coalesce(sum(CASE WHEN kind = 'null' THEN total END), 0L) AS null_count",
+        "coalesce(sum(CASE WHEN kind = 'unique' THEN total END), 0L) AS unique_count",
+        "coalesce(sum(total), 0L) AS total",
     )
 
 
 def category_label(counts: DataFrame) -> DataFrame:
     """``(n_rows, n_distinct, label)``: counted rows and truly distinct values."""
-    n = F.count(F.lit(1))
-    distinct = F.sum(
-        F.when(F.col("kind") == "value", F.lit(1).cast("bigint"))
-        .when(F.col("kind") == "unique", F.col("total"))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    return counts.agg(
-        n.alias("n_rows"), F.coalesce(distinct, F.lit(0).cast("bigint")).alias("n_distinct")
-    ).select(
-        "n_rows",
-        "n_distinct",
-        F.concat(
-            F.format_number("n_rows", 0),
-            F.when(F.col("n_rows") == 1, " category").otherwise(" categories"),
-        ).alias("label"),
+    return counts.selectExpr(
+        "count(*) AS n_rows",
+        "coalesce(sum(CASE kind WHEN 'value' THEN 1L WHEN 'unique' THEN total ELSE 0L END), 0L)"
+        " AS n_distinct",
+    ).selectExpr(
+        "*",
+        "concat(format_number(n_rows, 0), if(n_rows = 1, ' category', ' categories')) AS label",
     )
 
 
@@ -97,88 +82,66 @@ def by_falling_total(counts: DataFrame) -> DataFrame:
 def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
     """Per ``pos``: the ``top`` largest values, and ``rest``, ``unique``, ``null``.
 
-    ``counts`` is ``(pos, v, n, f)``, one row per value. Both branches below
-    read the same shuffled counts (the exchange is reused): the ranking keeps
-    at most ``top + 1`` rows per partition before it moves anything, and the
-    totals are partial sums. No branch gathers the values of a column.
+    ``counts`` is ``(pos, v, n, f)``, one row per value. ``ranked`` and
+    ``totals`` read the same shuffled counts (the exchange is reused): the
+    ranking keeps at most ``top + 1`` rows per partition before it moves
+    anything, and the totals are partial sums, so no step gathers the values of
+    a column. NULL ranks first: a filter on the values would be pushed below
+    the grouping and make the two exchanges differ. Lists hold ``top + 1``
+    entries at most.
     """
-    is_null = F.col("v").isNull()
-    # NULL ranks first, so that the ranking needs no filter of its own and
-    # stays on the very same exchange as the totals.
-    order = [F.desc(is_null), F.desc("n"), F.col("v").asc_nulls_last()]
-    ranked = (
-        counts.select(
-            "pos", "v", "n", "f",
-            F.row_number().over(Window.partitionBy("pos").orderBy(*order)).alias("place"),
+    entry = "'n_values', {0}, 'total', {1}, 'filtered', {2}"
+    plain = "named_struct('kind', '{0}', 'rank', CAST(NULL AS INT), 'key', CAST(NULL AS STRING), "
+    shown = entry.format("1L", "x.n", "x.f")
+    rest = entry.format("many - size(shown)", *[
+        f"many_{c} - aggregate(shown, 0L, (a, x) -> a + x.{c})" for c in ("n", "f")
+    ])
+    return counts.sparkSession.sql(
+        f"""
+        WITH ranked AS (
+          SELECT pos, v, n, f, row_number() OVER (
+                   PARTITION BY pos ORDER BY v IS NULL DESC, n DESC, v) AS place
+          FROM {{counts}}
+        ),
+        totals AS (
+          SELECT pos,
+                 count_if(v IS NOT NULL AND n > 1) AS many,
+                 sum(CASE WHEN v IS NOT NULL AND n > 1 THEN n ELSE 0L END) AS many_n,
+                 sum(CASE WHEN v IS NOT NULL AND n > 1 THEN f ELSE 0L END) AS many_f,
+                 sum(CASE WHEN v IS NOT NULL AND n = 1 THEN 1L ELSE 0L END) AS lone,
+                 sum(CASE WHEN v IS NOT NULL AND n = 1 THEN f ELSE 0L END) AS lone_f
+          FROM {{counts}} GROUP BY pos
+        ),
+        together AS (
+          SELECT pos, place, v, n, f, NULL AS many, NULL AS many_n, NULL AS many_f,
+                 NULL AS lone, NULL AS lone_f
+          FROM ranked WHERE place <= {top + 1}
+          UNION ALL
+          SELECT pos, NULL, NULL, NULL, NULL, many, many_n, many_f, lone, lone_f FROM totals
+        ),
+        gathered AS (
+          SELECT pos, max(many) AS many, max(many_n) AS many_n, max(many_f) AS many_f,
+                 max(lone) AS lone, max(lone_f) AS lone_f,
+                 sort_array(collect_list(
+                   CASE WHEN place IS NOT NULL THEN struct(place, v, n, f) END)) AS found
+          FROM together GROUP BY pos
+        ),
+        split AS (
+          SELECT *, filter(found, x -> x.v IS NULL) AS nulls,
+                 slice(filter(found, x -> x.v IS NOT NULL AND x.n > 1), 1, {top}) AS shown
+          FROM gathered
         )
-        .where(F.col("place") <= top + 1)
-        .select("pos", "v", "n", "f", "place", F.lit(None).cast(_TOTALS).alias("t"))
-    )
-    many = F.col("v").isNotNull() & (F.col("n") > 1)
-    lone = F.col("v").isNotNull() & (F.col("n") == 1)
-
-    def total(test: Column, value: str) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0).cast("bigint"))
-
-    totals = counts.groupBy("pos").agg(
-        F.struct(
-            F.count_if(many).alias("values"),
-            total(many, "n").alias("n"), total(many, "f").alias("f"),
-            total(lone, "n").alias("lone_n"), total(lone, "f").alias("lone_f"),
-        ).alias("t")
-    )
-    totals = totals.select(
-        "pos", F.lit(None).cast("string").alias("v"), F.lit(None).cast("bigint").alias("n"),
-        F.lit(None).cast("bigint").alias("f"), F.lit(None).cast("int").alias("place"), "t",
-    )
-
-    # From here on at most top + 2 rows per column.
-    group = Window.partitionBy("pos")
-    real = F.col("t").isNull()
-    has_null = F.max(F.when(real & is_null, 1).otherwise(0)).over(group)
-    tiny = ranked.unionByName(totals).withColumn("place", F.col("place") - has_null)
-    shown = real & ~is_null & (F.col("n") > 1) & F.col("place").between(1, top)
-    tiny = tiny.select(
-        "*",
-        shown.alias("shown"),
-        F.count_if(shown).over(group).alias("s"),
-        F.sum(F.when(shown, F.col("n"))).over(group).alias("s_n"),
-        F.sum(F.when(shown, F.col("f"))).over(group).alias("s_f"),
-    )
-    zero = F.lit(0).cast("bigint")
-    t = F.col("t")
-    values = F.when(
-        F.col("shown"),
-        F.array(_entry("value", F.col("place"), F.col("v"), F.lit(1), F.col("n"), F.col("f"))),
-    )
-    nulls = F.when(
-        real & is_null,
-        F.array(_entry("null", F.lit(None), F.lit(None), F.lit(1), F.col("n"), F.col("f"))),
-    )
-    rest = _entry(
-        "rest", F.lit(None), F.lit(None), t["values"] - F.col("s"),
-        t["n"] - F.coalesce("s_n", zero), t["f"] - F.coalesce("s_f", zero),
-    )
-    unique = _entry("unique", F.lit(None), F.lit(None), t["lone_n"], t["lone_n"], t["lone_f"])
-    others = F.when(~real, F.array(rest, unique))
-    return (
-        tiny.select("pos", F.inline(F.coalesce(values, nulls, others)))
-        .where("n_values > 0")
-    )
-
-
-_TOTALS = "struct<values:bigint,n:bigint,f:bigint,lone_n:bigint,lone_f:bigint>"
-
-
-def _entry(kind: str, place, key, n_values, total, filtered) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(place).cast("int").alias("rank") if place is None else place.cast("int").alias("rank"),
-        key.cast("string").alias("key"),
-        n_values.cast("bigint").alias("n_values"),
-        total.cast("bigint").alias("total"),
-        filtered.cast("bigint").alias("filtered"),
-    )
+        SELECT pos, inline(concat(
+          transform(shown, (x, i) -> named_struct(
+            'kind', 'value', 'rank', i + 1, 'key', x.v, {shown})),
+          array({plain.format('rest')} {rest}),
+                {plain.format('unique')} {entry.format('lone', 'lone', 'lone_f')})),
+          transform(nulls, x -> {plain.format('null')} {shown}))
+        ))
+        FROM split
+        """,
+        counts=counts,
+    ).where("n_values > 0")
 
 
 def top_values(base: DataFrame, column: str, selection: Selection, top: int = TOP) -> DataFrame:

@@ -16,12 +16,11 @@ def row_count(base: DataFrame, selection: Selection = Selection()) -> DataFrame:
 def status(base: DataFrame, selection: Selection = Selection()) -> DataFrame:
     """``(count, total, label)``; the label reads ``N rows`` or ``N of M rows``."""
     flagged, tests = selection.flag(base)
-    counted = flagged.agg(
-        F.count_if(all_of(list(tests.values()))).alias("count"),
-        F.count(F.lit(1)).alias("total"),
+    counted = flagged.selectExpr(
+        f"count_if({all_of(tests.values())}) AS `count`", "count(*) AS total"
     )
-    count, total = F.format_number("count", 0), F.format_number("total", 0)
-    label = F.when(F.col("count") == F.col("total"), F.concat(count, F.lit(" rows"))).otherwise(
-        F.concat(count, F.lit(" of "), total, F.lit(" rows"))
+    return counted.selectExpr(
+        "`count`", "total",
+        "CASE WHEN `count` = total THEN concat(format_number(total, 0), ' rows') ELSE "
+        "concat(format_number(`count`, 0), ' of ', format_number(total, 0), ' rows') END AS label",
     )
-    return counted.select("count", "total", label.alias("label"))

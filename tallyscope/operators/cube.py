@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.bins import NONFINITE, NumberBins
-from tallyscope.functions.columns import CATEGORY, field, role, text
+from tallyscope.functions.columns import CATEGORY, field, role
 from tallyscope.operators.categories import folded
 from tallyscope.operators.extent import Extent
-from tallyscope.operators.histogram import Bins, _one_column, bin_values, with_null_rows
+from tallyscope.operators.histogram import Bins, bin_values, one_column
 from tallyscope.operators.longform import long_counts, text_values
 from tallyscope.operators.selection import Between, Clause, IsNull, Selection, ValueIs
 
@@ -40,7 +40,7 @@ class Cube:
         self._bins = bins
         self._extent = extents.get(active)
         if role(field(base.schema, active).dataType) == CATEGORY:
-            slot = text(base, active)
+            ((_, slot),) = text_values(base, {0: active}).values()
         else:
             ((_, slot),) = bin_values(base, {0: active}, bins, exact=True).values()
         roles = {name: role(field(base.schema, name).dataType) for name in targets}
@@ -68,10 +68,9 @@ class Cube:
 
     def histogram(self, target: str, clause: Clause | None = None) -> DataFrame:
         """Same rows as the direct histogram of ``target`` under ``clause``."""
-        counted = self._counted(self._binned, target, clause, "k").withColumn("f", F.col("n"))
-        pos = self._place(target)
-        aligned = with_null_rows(counted, [pos]).withColumn("pos", F.lit(0))
-        return _one_column(aligned, target, self._bins[target]).drop("f")
+        counted = self._counted(self._binned, target, clause, "k")
+        aligned = counted.selectExpr("0 AS pos", "k", "n", "n AS f")
+        return one_column(aligned, target, self._bins[target]).drop("f")
 
     def value_counts(self, target: str, clause: Clause | None = None) -> DataFrame:
         """Same rows as the direct value counts of ``target`` under ``clause``."""
@@ -96,7 +95,7 @@ class Cube:
                 raise ValueError(f"{clause} does not follow the cube's bins; ask directly")
             chosen = chosen & slots
         return (
-            frame.where(chosen).groupBy("pos", value_name).agg(F.sum("n").alias("n"))
+            frame.where(chosen).groupBy(value_name).agg(F.sum("n").alias("n"))
         )
 
     def _slots(self, clause: Clause) -> Column | None:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isfinite
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions import bins
-from tallyscope.functions.columns import CATEGORY, DATE, field, role
-from tallyscope.functions.sqltext import quote_name
+from tallyscope.functions.columns import CATEGORY, DATE, NUMBER, field, role
+from tallyscope.functions.sqltext import quote_name, string_literal
 
 
 @dataclass(frozen=True)
@@ -25,14 +25,19 @@ class Extent:
         return choose(self.lo, self.hi, steps)
 
 
-def measure_sql(name: str, dtype: T.DataType) -> str:
-    """The value whose extent is asked, as SQL; NaN and infinities become NULL."""
-    if role(dtype) == DATE:
-        return bins.micros_sql(name, dtype)
-    x = f"CAST({quote_name(name)} AS DOUBLE)"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return f"CASE WHEN {x} - {x} = 0D THEN {x} END"
-    return x
+def _finite_sql(name: str, dtype: T.DataType) -> str:
+    """The value, with NaN and the infinities made NULL."""
+    x = quote_name(name)
+    return f"CASE WHEN {x} - {x} = 0 THEN {x} END" if _has_nonfinite(dtype) else x
+
+
+def _has_nonfinite(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def _measure_sql(value: str, dtype: T.DataType) -> str:
+    """A value on the scale of an extent."""
+    return bins.micros_sql(value, dtype) if role(dtype) == DATE else f"CAST({value} AS DOUBLE)"
 
 
 def histogram_columns(schema: T.StructType) -> list[str]:
@@ -40,15 +45,32 @@ def histogram_columns(schema: T.StructType) -> list[str]:
 
 
 def extents(df: DataFrame, columns: list[str]) -> dict[str, Extent]:
-    """Collect the extents: one aggregate, one row, two numbers per column."""
+    """Collect the extents: one aggregate, one row, two numbers per column.
+
+    The aggregates are over bare columns, which is the form a source can answer
+    from its own statistics. Only columns that turn out to hold NaN or an
+    infinity are measured once more without them.
+    """
+    found = _extents(df, columns, finite=False)
+    odd = [
+        c for c, e in found.items() if e.lo is not None and not (isfinite(e.lo) and isfinite(e.hi))
+    ]
+    return {**found, **_extents(df, odd, finite=True)}
+
+
+def _extents(df: DataFrame, columns: list[str], finite: bool) -> dict[str, Extent]:
     if not columns:
         return {}
     asked = []
     for i, name in enumerate(columns):
-        value = F.expr(measure_sql(name, field(df.schema, name).dataType))
-        asked += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    row = df.agg(*asked).head()
-    return {name: Extent(row[f"lo{i}"], row[f"hi{i}"]) for i, name in enumerate(columns)}
+        dtype = field(df.schema, name).dataType
+        value = _finite_sql(name, dtype) if finite else quote_name(name)
+        asked += [
+            f"{_measure_sql(f'min({value})', dtype)} AS lo{i}",
+            f"{_measure_sql(f'max({value})', dtype)} AS hi{i}",
+        ]
+    row = df.selectExpr(*asked).head()
+    return {name: Extent(row[2 * i], row[2 * i + 1]) for i, name in enumerate(columns)}
 
 
 def column_overview(df: DataFrame) -> DataFrame:
@@ -57,45 +79,28 @@ def column_overview(df: DataFrame) -> DataFrame:
     The extent of a number column is in ``lo``/``hi``, that of a date column in
     ``t_lo``/``t_hi``.
     """
-    asked = [F.count(F.lit(1)).alias("rows")]
-    shape = []
+    asked, shape = ["count(*) AS rows"], []
+    no_number, no_time = "CAST(NULL AS DOUBLE)", "CAST(NULL AS TIMESTAMP_NTZ)"
     for i, f in enumerate(df.schema.fields):
-        name = quote_name(f.name)
-        asked.append(F.expr(f"count_if({name} IS NULL)").alias(f"null{i}"))
-        if role(f.dataType) == CATEGORY:
-            lo = hi = "CAST(NULL AS DOUBLE)"
-            t_lo = t_hi = "CAST(NULL AS TIMESTAMP_NTZ)"
-            nonfinite = "0L"
-        else:
-            value = measure_sql(f.name, f.dataType)
-            asked.append(F.expr(f"min({value})").alias(f"lo{i}"))
-            asked.append(F.expr(f"max({value})").alias(f"hi{i}"))
-            if role(f.dataType) == DATE:
-                lo = hi = "CAST(NULL AS DOUBLE)"
-                t_lo, t_hi = (
-                    f"timestampadd(MICROSECOND, {side}{i}, {bins.EPOCH})" for side in ("lo", "hi")
-                )
-                nonfinite = "0L"
-            else:
-                lo, hi = f"lo{i}", f"hi{i}"
-                t_lo = t_hi = "CAST(NULL AS TIMESTAMP_NTZ)"
-                asked.append(F.expr(f"count({value})").alias(f"finite{i}"))
-                nonfinite = f"rows - null{i} - finite{i}"
+        kind = role(f.dataType)
+        asked.append(f"count({quote_name(f.name)}) AS some{i}")
+        numbers, times, odd = [no_number] * 2, [no_time] * 2, "0L"
+        if kind != CATEGORY:
+            value = _finite_sql(f.name, f.dataType)
+            for side, pick in (("lo", "min"), ("hi", "max")):
+                asked.append(f"{_measure_sql(f'{pick}({value})', f.dataType)} AS {side}{i}")
+        if kind == DATE:
+            times = [f"timestampadd(MICROSECOND, {side}{i}, {bins.EPOCH})" for side in ("lo", "hi")]
+        elif kind == NUMBER:
+            numbers = [f"lo{i}", f"hi{i}"]
+        if _has_nonfinite(f.dataType):
+            asked.append(f"count({value}) AS finite{i}")
+            odd = f"some{i} - finite{i}"
         shape.append(
-            f"named_struct('pos', {i}, 'n_rows', rows, 'n_null', null{i}, "
-            f"'n_nonfinite', {nonfinite}, 'lo', {lo}, 'hi', {hi}, 't_lo', {t_lo}, 't_hi', {t_hi})"
+            f"{i}, {string_literal(f.name)}, '{kind}', rows, rows - some{i}, {odd}, "
+            f"{', '.join(numbers + times)}"
         )
-    measured = df.agg(*asked).select(F.inline(F.expr(f"array({', '.join(shape)})")))
-    names = [f.name for f in df.schema.fields]
-    kinds = [role(f.dataType) for f in df.schema.fields]
-    return measured.select(
-        "pos",
-        pick(names, F.col("pos")).alias("column"),
-        pick(kinds, F.col("pos")).alias("role"),
-        "n_rows", "n_null", "n_nonfinite", "lo", "hi", "t_lo", "t_hi",
+    names = "pos, column, role, n_rows, n_null, n_nonfinite, lo, hi, t_lo, t_hi"
+    return df.selectExpr(*asked).selectExpr(
+        f"stack({len(shape)}, {', '.join(shape)}) AS ({names})"
     )
-
-
-def pick(values: list, pos):
-    """The ``pos``-th of some constants, as a column."""
-    return F.get(F.array(*[F.lit(v) for v in values]), pos)

@@ -7,12 +7,18 @@ and so have NaN and the infinities (``kind = 'nonfinite'``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Mapping
 
-from tallyscope.functions.bins import NONFINITE, DateBins, NumberBins, date_edge
+from pyspark.sql import DataFrame
+
+from tallyscope.functions.bins import (
+    NONFINITE_SQL,
+    DateBins,
+    NumberBins,
+    date_edge_sql,
+    number_edge_sql,
+)
 from tallyscope.functions.columns import field
-from tallyscope.operators.extent import pick
 from tallyscope.operators.longform import long_counts
 from tallyscope.operators.selection import Selection
 
@@ -20,100 +26,74 @@ Bins = NumberBins | DateBins
 
 
 def bin_values(
-    base: DataFrame, columns: dict[int, str], bins: dict[str, Bins], exact: bool = False
-) -> dict[int, tuple[str, Column]]:
+    base: DataFrame, columns: Mapping[int, str], bins: Mapping[str, Bins], exact: bool = False
+) -> dict[int, tuple[str, str]]:
     return {
-        pos: (name, F.expr(bins[name].index_sql(name, field(base.schema, name).dataType, exact)))
+        pos: (name, bins[name].index_sql(name, field(base.schema, name).dataType, exact))
         for pos, name in columns.items()
     }
 
 
-def bin_counts(
-    base: DataFrame, columns: dict[int, str], bins: dict[str, Bins], selection: Selection
+def bin_rows(
+    counted: DataFrame, columns: Mapping[int, str], bins: Mapping[str, Bins]
 ) -> DataFrame:
-    """``(pos, k, n, f)`` for all ``columns``; every column has a NULL row."""
-    counted = long_counts(base, bin_values(base, columns, bins), selection, "k")
-    return with_null_rows(counted, list(columns))
-
-
-def with_null_rows(counted: DataFrame, positions: list[int]) -> DataFrame:
-    """Make sure each position has its NULL bin; touches only counted bins."""
-    ids = counted.sparkSession.range(0, len(positions), 1, numPartitions=1)
-    zero = F.lit(0).cast("bigint")
-    zeros = ids.select(
-        pick(positions, F.col("id").cast("int")).alias("pos"),
-        F.lit(None).cast("bigint").alias("k"), zero.alias("n"), zero.alias("f"),
-    )
-    return (
-        counted.select("pos", "k", "n", "f")
-        .unionByName(zeros)
-        .groupBy("pos", "k")
-        .agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    )
-
-
-def kind_of(k: Column) -> Column:
-    return (
-        F.when(k.isNull(), "null")
-        .when(k == F.lit(NONFINITE), "nonfinite")
-        .otherwise("value")
-    )
-
-
-def number_edges(k: Column, step: Column, origin: Column) -> tuple[Column, Column]:
-    real = F.when(k != F.lit(NONFINITE), k)
-    return origin + real * step, origin + (real + 1) * step
-
-
-def with_edges(counted: DataFrame, columns: dict[int, str], bins: dict[str, Bins]) -> DataFrame:
-    """Add ``kind`` and the edges: ``x1``/``x2`` for numbers, ``t1``/``t2`` for dates."""
-    rules = {pos: bins[name] for pos, name in columns.items()}
-    numbers = {p: r for p, r in rules.items() if isinstance(r, NumberBins)}
-    dates = {p: r for p, r in rules.items() if isinstance(r, DateBins)}
-    k, pos = F.col("k"), F.col("pos")
-
-    x1 = x2 = F.lit(None).cast("double")
+    """``(pos, kind, x1, x2, t1, t2, n, f)`` from counts per bin index ``k``.
+
+    Adds the NULL row where a column has none, and the edges: ``x1``/``x2``
+    for numbers, ``t1``/``t2`` for dates. Works on counted bins only.
+    """
+    numbers = {p: bins[c] for p, c in columns.items() if isinstance(bins[c], NumberBins)}
+    dates = {p: bins[c] for p, c in columns.items() if isinstance(bins[c], DateBins)}
+    x = ["CAST(NULL AS DOUBLE)"] * 2
     if numbers:
-        step = _by_position(pos, {p: r.step for p, r in numbers.items()}, None)
-        origin = _by_position(pos, {p: r.origin for p, r in numbers.items()}, None)
-        x1, x2 = number_edges(k, step, origin)
-    t1 = t2 = F.lit(None).cast("timestamp_ntz")
+        step = constant_sql({p: repr(r.step) + "D" for p, r in numbers.items()})
+        origin = constant_sql({p: repr(r.origin) + "D" for p, r in numbers.items()})
+        x = [number_edge_sql(k, step, origin) for k in ("k", "(k + 1)")]
+    t = ["CAST(NULL AS TIMESTAMP_NTZ)"] * 2
     if dates:
-        micros = _by_position(pos, {p: r.micros for p, r in dates.items()}, None)
-        months = _by_position(pos, {p: r.months for p, r in dates.items()}, None)
-        t1, t2 = date_edge(k, micros, months), date_edge(k + 1, micros, months)
-    return counted.select(
-        "pos", kind_of(k).alias("kind"), x1.alias("x1"), x2.alias("x2"),
-        t1.alias("t1"), t2.alias("t2"), "n", "f",
+        micros = constant_sql({p: f"{r.micros}L" for p, r in dates.items()})
+        months = constant_sql({p: f"{r.months}L" for p, r in dates.items()})
+        t = [date_edge_sql(k, micros, months) for k in ("k", "(k + 1)")]
+    zeros = ", ".join(f"({pos}, CAST(NULL AS BIGINT), 0L, 0L)" for pos in columns)
+    return counted.sparkSession.sql(
+        f"""
+        SELECT pos,
+               CASE WHEN k IS NULL THEN 'null' WHEN k = {NONFINITE_SQL} THEN 'nonfinite'
+                    ELSE 'value' END AS kind,
+               {x[0]} AS x1, {x[1]} AS x2, {t[0]} AS t1, {t[1]} AS t2, n, f
+        FROM (SELECT pos, k, sum(n) AS n, sum(f) AS f
+              FROM (SELECT pos, k, n, f FROM {{counted}} UNION ALL VALUES {zeros})
+              GROUP BY pos, k)
+        """,
+        counted=counted,
     )
 
 
-def _by_position(pos: Column, values: dict[int, object], other: object) -> Column:
-    if len(values) == 1:
-        ((only, value),) = values.items()
-        return F.when(pos == only, F.lit(value))
-    return pick([values.get(p, other) for p in range(max(values) + 1)], pos)
+def constant_sql(values: Mapping[int, str]) -> str:
+    """The constant that belongs to ``pos``; NULL for other positions."""
+    listed = ", ".join(values.get(p, "NULL") for p in range(max(values) + 1))
+    return f"get(array({listed}), pos)"
 
 
 def histogram(
     base: DataFrame, column: str, bins: Bins, selection: Selection = Selection()
 ) -> DataFrame:
     """``(kind, x1, x2, n)`` of one column under the clauses of all others."""
-    columns = {0: column}
-    counted = long_counts(
-        base, bin_values(base, columns, {column: bins}), selection, "k", filtered_only=True
-    ).withColumn("f", F.col("n"))
-    return _one_column(with_null_rows(counted, [0]), column, bins).drop("f")
+    values = bin_values(base, {0: column}, {column: bins})
+    counted = long_counts(base, values, selection, "k", filtered_only=True)
+    return one_column(counted.selectExpr("pos", "k", "n", "n AS f"), column, bins).drop("f")
 
 
 def histogram_compare(
     base: DataFrame, column: str, bins: Bins, selection: Selection
 ) -> DataFrame:
     """``(kind, x1, x2, n, f)``: baseline and filtered counts from one scan."""
-    return _one_column(bin_counts(base, {0: column}, {column: bins}, selection), column, bins)
+    values = bin_values(base, {0: column}, {column: bins})
+    return one_column(long_counts(base, values, selection, "k"), column, bins)
 
 
-def _one_column(counted: DataFrame, column: str, bins: Bins) -> DataFrame:
-    shaped = with_edges(counted, {0: column}, {column: bins})
+def one_column(counted: DataFrame, column: str, bins: Bins) -> DataFrame:
+    """Bin rows of the column at position 0, with its edges in ``x1``/``x2``."""
     lo, hi = ("t1", "t2") if isinstance(bins, DateBins) else ("x1", "x2")
-    return shaped.select("kind", F.col(lo).alias("x1"), F.col(hi).alias("x2"), "n", "f")
+    rows = bin_rows(counted, {0: column}, {column: bins})
+    return rows.selectExpr("kind", f"{lo} AS x1", f"{hi} AS x2", "n", "f")

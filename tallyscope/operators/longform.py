@@ -7,9 +7,10 @@ Baseline and filtered counts ride along in the same pass.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.columns import field, text_sql
@@ -21,77 +22,69 @@ BATCH = 50
 
 def long_counts(
     base: DataFrame,
-    values: dict[int, tuple[str, Column]],
+    values: Mapping[int, tuple[str, str]],
     selection: Selection,
     value_name: str,
-    by: dict[str, Column] | None = None,
+    by: Mapping[str, str] | None = None,
     filtered_only: bool = False,
     ignore: tuple[str, ...] = (),
 ) -> DataFrame:
     """Count rows per ``(pos, value)``: ``n`` unfiltered and ``f`` filtered.
 
-    ``values`` maps a position to its column name and the value to count. The
-    clause on that very column is left out of ``f`` (cross-filter), as are
-    clauses on ``ignore``. With ``filtered_only`` rows outside the filter are
-    dropped before grouping and only ``n`` is returned.
+    ``values`` maps a position to its column name and the value to count, as
+    SQL; ``by`` adds grouping columns. The clause on the counted column itself
+    is left out of ``f`` (cross-filter), as are clauses on ``ignore``. With
+    ``filtered_only`` rows outside the filter are dropped before grouping and
+    only ``n`` is returned.
     """
     if filtered_only and not by and len(values) == 1:
         ((pos, (name, value)),) = values.items()
         seen = selection.excluding(name, *ignore).apply(base)
-        return (
-            seen.groupBy(value.alias(value_name))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit(pos).alias("pos"), value_name, "n")
-        )
+        counted = seen.groupBy(F.expr(value).alias(value_name)).agg(F.expr("count(*) AS n"))
+        return counted.selectExpr(f"{pos} AS pos", value_name, "n")
     batches = [
-        _one_pass(base, dict(chunk), selection, value_name, by or {}, filtered_only, ignore)
+        _one_pass(base, dict(chunk), selection.excluding(*ignore), value_name, by or {}, filtered_only)
         for chunk in _chunks(list(values.items()), BATCH)
     ]
     return reduce(DataFrame.unionByName, batches)
 
 
-def _one_pass(base, values, selection, value_name, by, filtered_only, ignore) -> DataFrame:
-    flagged, tests = selection.excluding(*ignore).flag(base)
+def _one_pass(base, values, selection, value_name, by, filtered_only) -> DataFrame:
+    flagged, tests = selection.flag(base)
     # One flag for most columns, and one more per summarised column that has
     # a clause of its own.
     own = {pos: name for pos, (name, _) in values.items() if name in tests}
-    flags = {"keep": all_of(list(tests.values()))}
+    flags = {"keep": all_of(tests.values())} if tests else {}
     for pos, name in own.items():
-        flags[f"keep{pos}"] = all_of([t for c, t in tests.items() if c != name])
-    if not tests:
-        flags = {}
-    ids = [c.alias(n) for n, c in {**by, **flags}.items()]
-    wide = flagged.select(*ids, *[v.alias(f"c{pos}") for pos, (_, v) in values.items()])
-
+        flags[f"keep{pos}"] = all_of(t for c, t in tests.items() if c != name)
+    wide = flagged.selectExpr(
+        *[f"{sql} AS {name}" for name, sql in {**by, **flags}.items()],
+        *[f"{sql} AS c{pos}" for pos, (_, sql) in values.items()],
+    )
     if len(values) == 1:
         (pos,) = values
         long = wide.withColumnRenamed(f"c{pos}", value_name)
-        kept = F.col(f"keep{pos}" if pos in own else "keep")
-        pos_of: Column = F.lit(pos)
-        group = []
+        kept = f"keep{pos}" if own else "keep"
+        pos_sql, group = f"{pos}", [*by, value_name]
     else:
-        names = [f"c{pos}" for pos in values]
-        long = wide.unpivot([*by, *flags], names, "which", value_name)
-        kept = F.col("keep")
-        for pos in own:
-            kept = F.when(F.col("which") == f"c{pos}", F.col(f"keep{pos}")).otherwise(kept)
-        pos_of = F.expr("CAST(substring(which, 2) AS INT)")
-        group = ["which"]
-
-    group = [*group, *by, value_name]
+        long = wide.unpivot([*by, *flags], [f"c{pos}" for pos in values], "which", value_name)
+        cases = " ".join(f"WHEN 'c{pos}' THEN keep{pos}" for pos in own)
+        kept = f"CASE which {cases} ELSE keep END" if own else "keep"
+        pos_sql, group = "CAST(substring(which, 2) AS INT)", ["which", *by, value_name]
+
+    counts = ["count(*) AS n"]
     if filtered_only:
-        if tests:
-            long = long.where(kept)
-        counted = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-        return counted.select(pos_of.alias("pos"), *by, value_name, "n")
-    filtered = F.count_if(kept) if tests else F.count(F.lit(1))
-    counted = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), filtered.alias("f"))
-    return counted.select(pos_of.alias("pos"), *by, value_name, "n", "f")
+        long = long.where(kept) if tests else long
+    else:
+        counts.append(f"count_if({kept}) AS f" if tests else "count(*) AS f")
+    counted = long.groupBy(*group).agg(*[F.expr(c) for c in counts])
+    names = [c.rsplit(" ", 1)[1] for c in counts]
+    return counted.selectExpr(f"{pos_sql} AS pos", *by, value_name, *names)
 
 
-def text_values(base: DataFrame, columns: dict[int, str]) -> dict[int, tuple[str, Column]]:
+def text_values(base: DataFrame, columns: Mapping[int, str]) -> dict[int, tuple[str, str]]:
     return {
-        pos: (name, F.expr(text_sql(name, field(base.schema, name).dataType)))
+        pos: (name, text_sql(name, field(base.schema, name).dataType))
         for pos, name in columns.items()
     }
 

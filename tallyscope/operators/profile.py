@@ -8,25 +8,22 @@ column once.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallyscope.functions.columns import CATEGORY, role, type_name
+from tallyscope.functions.columns import CATEGORY, field, role, type_name
+from tallyscope.functions.sqltext import string_literal
 from tallyscope.operators.categories import TOP, top_and_rest
-from tallyscope.operators.extent import pick
-from tallyscope.operators.histogram import Bins, bin_counts, with_edges
+from tallyscope.operators.histogram import Bins, bin_rows, bin_values, constant_sql
 from tallyscope.operators.longform import long_counts, text_values
 from tallyscope.operators.selection import Selection
 
-COLUMNS = [
-    "pos", "kind", "rank", "key", "x1", "x2", "t1", "t2", "n_values", "total", "filtered",
-]
-
 
 def profile(
     base: DataFrame,
     columns: list[str],
-    bins: dict[str, Bins],
+    bins: Mapping[str, Bins],
     selection: Selection = Selection(),
     top: int = TOP,
 ) -> DataFrame:
@@ -36,43 +33,40 @@ def profile(
     clauses of all *other* columns. Number bins have their edges in
     ``x1``/``x2``, date bins in ``t1``/``t2``; category rows have ``key``.
     """
-    fields = {f.name: f for f in base.schema.fields}
-    binned, listed = {}, {}
-    for pos, name in enumerate(columns):
-        kind = role(fields[name].dataType)
-        (listed if kind == CATEGORY else binned)[pos] = name
+    if not columns:
+        raise ValueError("there are no columns to profile")
+    types = [field(base.schema, c).dataType for c in columns]
+    listed = {p: c for p, c in enumerate(columns) if role(types[p]) == CATEGORY}
+    binned = {p: c for p, c in enumerate(columns) if p not in listed}
 
+    def named(values: list[str]) -> str:
+        return constant_sql({p: string_literal(v) for p, v in enumerate(values)})
+
+    lead = (
+        "pos",
+        f"{named(columns)} AS column",
+        f"{named([type_name(t) for t in types])} AS type_name",
+        f"{named([role(t) for t in types])} AS role",
+        "kind",
+    )
     parts = []
     if binned:
-        edges = with_edges(bin_counts(base, binned, bins, selection), binned, bins)
+        counted = long_counts(base, bin_values(base, binned, bins), selection, "k")
         parts.append(
-            edges.select(
-                "pos", "kind", F.lit(None).cast("int").alias("rank"),
-                F.lit(None).cast("string").alias("key"), "x1", "x2", "t1", "t2",
-                F.lit(None).cast("bigint").alias("n_values"),
-                F.col("n").alias("total"), F.col("f").alias("filtered"),
+            bin_rows(counted, binned, bins).selectExpr(
+                *lead, "CAST(NULL AS INT) AS rank", "CAST(NULL AS STRING) AS key",
+                "x1", "x2", "t1", "t2", "CAST(NULL AS BIGINT) AS n_values",
+                "n AS total", "f AS filtered",
             )
         )
     if listed:
         counts = long_counts(base, text_values(base, listed), selection, "v")
         parts.append(
-            top_and_rest(counts, top).select(
-                "pos", "kind", "rank", "key",
-                *[F.lit(None).cast("double").alias(c) for c in ("x1", "x2")],
-                *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("t1", "t2")],
+            top_and_rest(counts, top).selectExpr(
+                *lead, "rank", "key",
+                "CAST(NULL AS DOUBLE) AS x1", "CAST(NULL AS DOUBLE) AS x2",
+                "CAST(NULL AS TIMESTAMP_NTZ) AS t1", "CAST(NULL AS TIMESTAMP_NTZ) AS t2",
                 "n_values", "total", "filtered",
             )
         )
-    if not parts:
-        raise ValueError("the table has no columns")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    pos = F.col("pos")
-    return whole.select(
-        "pos",
-        pick(columns, pos).alias("column"),
-        pick([type_name(fields[c].dataType) for c in columns], pos).alias("type_name"),
-        pick([role(fields[c].dataType) for c in columns], pos).alias("role"),
-        *COLUMNS[1:],
-    )
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -7,9 +7,10 @@ clauses of all *other* columns; the rows and the row count see every clause.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 from dataclasses import dataclass, field as dataclass_field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,13 +147,13 @@ class Selection:
                 out = out.join(lone, value == lone[lone.columns[0]], "left_semi")
         return out
 
-    def flag(self, base: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-        """``base`` plus what is needed to test each clause, row by row.
+    def flag(self, base: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        """``base`` and a SQL test per clause to mark its rows with.
 
         Used where the unfiltered counts come from the same scan, so rows must
-        be marked instead of dropped.
+        be marked instead of dropped. A ``OccursOnce`` clause joins a column.
         """
-        tests: dict[str, Column] = {}
+        tests: dict[str, str] = {}
         out = base
         for i, (column, clause) in enumerate(self.clauses.items()):
             if isinstance(clause, OccursOnce):
@@ -160,18 +161,15 @@ class Selection:
                 value = F.expr(text_sql(column, field(base.schema, column).dataType))
                 lone = lone_values(base, column, name)
                 out = out.join(lone, value == lone[name], "left")
-                tests[column] = F.expr(f"{quote_name(name)} IS NOT NULL")
+                tests[column] = f"{quote_name(name)} IS NOT NULL"
             else:
-                tests[column] = F.expr(clause.sql(base.schema))
+                tests[column] = clause.sql(base.schema)
         return out, tests
 
 
-def all_of(tests: list[Column]) -> Column:
-    """Conjunction; TRUE when there is nothing to test."""
-    out = F.lit(True)
-    for i, test in enumerate(tests):
-        out = test if i == 0 else out & test
-    return out
+def all_of(tests: Iterable[str]) -> str:
+    """Conjunction of SQL tests; true when there is nothing to test."""
+    return " AND ".join(f"({t})" for t in tests) or "true"
 
 
 def _fresh(df: DataFrame, stem: str) -> str:
