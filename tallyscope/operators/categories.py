@@ -86,9 +86,9 @@ def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
     ``totals`` read the same shuffled counts (the exchange is reused): the
     ranking keeps at most ``top + 1`` rows per partition before it moves
     anything, and the totals are partial sums, so no step gathers the values of
-    a column. NULL ranks first: a filter on the values would be pushed below
-    the grouping and make the two exchanges differ. Lists hold ``top + 1``
-    entries at most.
+    a column. NULL is ranked too, first: a filter on the values alone would be
+    pushed below the grouping and make the two exchanges differ. Lists hold
+    ``top + 1`` entries at most.
     """
     entry = "'n_values', {0}, 'total', {1}, 'filtered', {2}"
     plain = "named_struct('kind', '{0}', 'rank', CAST(NULL AS INT), 'key', CAST(NULL AS STRING), "
@@ -101,7 +101,7 @@ def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
         WITH ranked AS (
           SELECT pos, v, n, f, row_number() OVER (
                    PARTITION BY pos ORDER BY v IS NULL DESC, n DESC, v) AS place
-          FROM {{counts}}
+          FROM {{counts}} WHERE n > 1 OR v IS NULL
         ),
         totals AS (
           SELECT pos,
@@ -128,7 +128,7 @@ def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
         ),
         split AS (
           SELECT *, filter(found, x -> x.v IS NULL) AS nulls,
-                 slice(filter(found, x -> x.v IS NOT NULL AND x.n > 1), 1, {top}) AS shown
+                 slice(filter(found, x -> x.v IS NOT NULL), 1, {top}) AS shown
           FROM gathered
         )
         SELECT pos, inline(concat(

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.columns import text
 from tallyscope.operators.categories import folded
+from tallyscope.operators.longform import text_values
 from tallyscope.operators.selection import Selection
 from tallyscope.sources.scratch import ensure_checkpoint_dir
 
-# Repeated hashes sent to every executor at most; 8 bytes each plus overhead.
-BROADCAST_HASHES = 1_000_000
+# Repeated hashes sent to every executor at most; a hash takes 8 bytes and the
+# table around it a few times that, so this stays well below 200 MB.
+BROADCAST_HASHES = 2_000_000
 
 
 def value_counts_long_text(
@@ -27,29 +28,31 @@ def value_counts_long_text(
     selection: Selection = Selection(),
     broadcast_hashes: int = BROADCAST_HASHES,
 ) -> DataFrame:
-    """Same rows as ``value_counts``."""
+    """Same rows as ``value_counts``.
+
+    With more than ``broadcast_hashes`` repeated hashes the texts have to be
+    shuffled after all, and are grouped directly.
+    """
     ensure_checkpoint_dir(base.sparkSession)
-    seen = selection.excluding(column).apply(base)
-    rows = seen.select(text(base, column).alias("v")).withColumn(
-        "h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))
-    )
-    by_hash = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    ((_, value),) = text_values(base, {0: column}).values()
+    rows = selection.excluding(column).apply(base).selectExpr(f"{value} AS v")
+    hashed = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    by_hash = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     lone = (F.col("n") == 1) & F.col("h").isNotNull()
     # One row per repeated hash, one for all lone hashes, one for NULL. Written
-    # once: it is read three times below, and its size decides the join.
+    # once: it is read three times below, and its size decides the plan.
     marks = (
         by_hash.groupBy(lone.alias("lone"), F.when(~lone, F.col("h")).alias("h"))
         .agg(F.sum("n").alias("n"))
         .checkpoint(eager=True)
     )
     repeated = marks.where("NOT lone AND h IS NOT NULL").select("h")
-    few = repeated.count() <= broadcast_hashes
-    again = rows.join(F.broadcast(repeated) if few else repeated, "h", "left_semi")
+    if repeated.count() > broadcast_hashes:
+        return folded(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    again = hashed.join(F.broadcast(repeated), "h", "left_semi")
     counts = again.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    settled = marks.where("lone OR h IS NULL").select(
-        F.when(F.col("lone"), "unique").otherwise("null").alias("kind"),
-        F.lit(None).cast("string").alias("key"),
-        F.col("n").alias("total"),
+    settled = marks.where("lone OR h IS NULL").selectExpr(
+        "if(lone, 'unique', 'null') AS kind", "CAST(NULL AS STRING) AS key", "n AS total"
     )
     return (
         folded(counts)

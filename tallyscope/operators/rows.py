@@ -57,7 +57,23 @@ def total_keys(schema: T.StructType, sorts: Mapping[str, str]) -> list[SortKey]:
 
 
 def ordered(df: DataFrame, keys: list[SortKey]) -> DataFrame:
-    return df.orderBy(*[k.order() for k in keys]) if keys else df
+    """The whole table in order.
+
+    Rows are range-partitioned by the keys and, within equal keys, by where
+    they come from, so that a frequent key is spread over several tasks.
+    """
+    if not keys:
+        return df
+    stamp = _fresh_stamp(df)
+    spread = df.withColumn(stamp, F.monotonically_increasing_id())
+    return spread.orderBy(*[k.order() for k in keys], F.col(stamp)).drop(stamp)
+
+
+def _fresh_stamp(df: DataFrame) -> str:
+    name = "_stamp"
+    while name in df.columns:
+        name = "_" + name
+    return name
 
 
 def page(df: DataFrame, keys: list[SortKey], number: int = 0, size: int = PAGE) -> DataFrame:
@@ -65,7 +81,7 @@ def page(df: DataFrame, keys: list[SortKey], number: int = 0, size: int = PAGE)
 
     Meant for the first pages; use ``rows_after`` or ``pages`` to go deep.
     """
-    out = ordered(df, keys)
+    out = df.orderBy(*[k.order() for k in keys]) if keys else df
     if number:
         out = out.offset(number * size)
     return out.limit(size)
@@ -155,17 +171,9 @@ def number_rows(df: DataFrame, keys: list[SortKey], name: str = "row") -> DataFr
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    stamp = "_stamp"
-    while stamp in df.columns:
-        stamp = "_" + stamp
-    # The stamp also breaks ties between equal rows, so a long run of equal
-    # rows can be cut into several range partitions.
-    spread = df.withColumn(stamp, F.monotonically_increasing_id())
-    by = [k.order() for k in keys] + [F.col(stamp).asc()]
+    stamp = _fresh_stamp(df)
     placed = (
-        spread.orderBy(*by)
-        .withColumn(stamp, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        ordered(df, keys).withColumn(stamp, F.monotonically_increasing_id()).checkpoint(eager=True)
     )
     part = F.shiftright(F.col(stamp), _PLACE_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

@@ -93,15 +93,35 @@ def _typed_key(key: str, dtype: T.DataType) -> str | None:
     return None
 
 
-def lone_values(base: DataFrame, column: str, name: str) -> DataFrame:
-    """Texts of ``column`` that occur once in ``base``, under ``name``."""
-    value = F.expr(text_sql(column, field(base.schema, column).dataType))
-    return (
-        base.groupBy(value.alias(name))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(f"n = 1 AND {quote_name(name)} IS NOT NULL")
-        .select(name)
+# Most frequent values that are kept out of the shuffle of an OccursOnce join.
+# Without them no value holds more than 1 / (HOT_VALUES + 1) of the rows.
+HOT_VALUES = 64
+
+
+def _join_lone(out: DataFrame, base: DataFrame, column: str, name: str, how: str) -> DataFrame:
+    """Join ``out`` with the values of ``column`` that occur once in ``base``.
+
+    A frequent value can never match, yet its rows would all meet in one task.
+    So rows of the most frequent values are found by a broadcast of at most
+    ``HOT_VALUES`` rows and get a second join key that spreads them out and
+    matches nothing. Which values count as frequent does not change the result.
+    """
+    value = text_sql(column, field(base.schema, column).dataType)
+    counts = (
+        base.selectExpr(f"{value} AS {name}")
+        .where(f"{name} IS NOT NULL")
+        .groupBy(name)
+        .agg(F.count(F.lit(1)).alias(f"{name}_n"))
     )
+    lone = counts.where(f"{name}_n = 1")
+    hot = counts.orderBy(F.desc(f"{name}_n")).limit(HOT_VALUES).where(f"{name}_n > 1")
+    hot = hot.selectExpr(f"{name} AS {name}_hot")
+    spread = out.join(F.broadcast(hot), F.expr(value) == F.col(f"{name}_hot"), "left").withColumn(
+        f"{name}_key",
+        F.expr(f"CASE WHEN {name}_hot IS NULL THEN 1L ELSE -1L - spark_partition_id() END"),
+    )
+    same = (F.expr(value) == lone[name]) & (spread[f"{name}_key"] == lone[f"{name}_n"])
+    return spread.join(lone, same, how).drop(f"{name}_hot", f"{name}_key", f"{name}_n")
 
 
 @dataclass(frozen=True)
@@ -142,9 +162,7 @@ class Selection:
                 out = out.where(clause.sql(base.schema))
         for clause in self.clauses.values():
             if isinstance(clause, OccursOnce):
-                value = F.expr(text_sql(clause.column, field(base.schema, clause.column).dataType))
-                lone = lone_values(base, clause.column, _fresh(base, "lone"))
-                out = out.join(lone, value == lone[lone.columns[0]], "left_semi")
+                out = _join_lone(out, base, clause.column, _fresh(base, "lone"), "left_semi")
         return out
 
     def flag(self, base: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -158,10 +176,8 @@ class Selection:
         for i, (column, clause) in enumerate(self.clauses.items()):
             if isinstance(clause, OccursOnce):
                 name = _fresh(base, f"lone{i}")
-                value = F.expr(text_sql(column, field(base.schema, column).dataType))
-                lone = lone_values(base, column, name)
-                out = out.join(lone, value == lone[name], "left")
-                tests[column] = f"{quote_name(name)} IS NOT NULL"
+                out = _join_lone(out, base, column, name, "left")
+                tests[column] = f"{name} IS NOT NULL"
             else:
                 tests[column] = clause.sql(base.schema)
         return out, tests
@@ -173,9 +189,9 @@ def all_of(tests: Iterable[str]) -> str:
 
 
 def _fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not use."""
+    """A column name that no name in ``df`` starts with."""
     taken = {c.lower() for c in df.columns}
     name = f"_{stem}"
-    while name in taken:
+    while any(c.startswith(name) for c in taken):
         name = "_" + name
     return name

@@ -116,3 +116,33 @@ def test_sql_of_a_clause():
     schema = T.StructType([T.StructField("a`b", T.StringType())])
     assert ValueIs("a`b", "it's \\ ${x}").sql(schema) == "`a``b` = 'it\\'s \\\\ \\u0024{x}'"
     assert "HAVING count(*) = 1" in OccursOnce("a`b").sql(schema, "`t`")
+
+
+def test_frequent_values_do_not_meet_in_one_task(spark):
+    df = spark.range(0, 40_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN CAST(id AS STRING) "
+        "ELSE CAST(id % 300 AS STRING) END v",
+        "id % 2 AS k",
+    )
+    t = Session.of(spark, df, "hot_rows").where_unique("v")
+    counts: dict = {}
+    for r in df.collect():
+        counts.setdefault(r.v, []).append(r.k)
+    once = [v for v, ks in counts.items() if len(ks) == 1]
+    assert t.count().head()[0] == len(once)
+    compared = t.value_counts_compare("k").collect()
+    assert sum(r.total for r in compared) == 40_000
+    assert sum(r.filtered for r in compared) == len(once)
+    assert t.data().columns == ["v", "k"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = t.value_counts_compare("k")
+        assert sorted(map(str, plain.collect())) == sorted(map(str, compared))
+        plan = plain._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan and "SortMergeJoin" in plan
+        final = plan[: plan.index("== Initial Plan ==")]
+        assert "_lone0_key" in final[final.index("SortMergeJoin") :].split("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
