@@ -1,7 +1,9 @@
 """One scan for many columns.
 
-The columns to summarise are turned into rows (``unpivot``, an ``Expand`` in
-the plan) and grouped straight away, so the map side sends only partial counts.
+The columns to summarise are turned into rows of place and value and grouped
+straight away, so the map side sends only partial counts. ``posexplode`` over an
+array of the values does that in generated code with an int as the first
+grouping key; it took half the time of ``unpivot``, whose key is a string.
 Baseline and filtered counts ride along in the same pass.
 """
 
@@ -57,20 +59,24 @@ def _one_pass(base, values, selection, value_name, by, filtered_only) -> DataFra
     flags = {"keep": all_of(tests.values())} if tests else {}
     for pos, name in own.items():
         flags[f"keep{pos}"] = all_of(t for c, t in tests.items() if c != name)
+    # Flags and values are computed here, once per row.
     wide = flagged.selectExpr(
         *[f"{sql} AS {name}" for name, sql in {**by, **flags}.items()],
         *[f"{sql} AS c{pos}" for pos, (_, sql) in values.items()],
     )
+    positions = list(values)
     if len(values) == 1:
-        (pos,) = values
+        (pos,) = positions
         long = wide.withColumnRenamed(f"c{pos}", value_name)
         kept = f"keep{pos}" if own else "keep"
         pos_sql, group = f"{pos}", [*by, value_name]
     else:
-        long = wide.unpivot([*by, *flags], [f"c{pos}" for pos in values], "which", value_name)
-        cases = " ".join(f"WHEN 'c{pos}' THEN keep{pos}" for pos in own)
-        kept = f"CASE which {cases} ELSE keep END" if own else "keep"
-        pos_sql, group = "CAST(substring(which, 2) AS INT)", ["which", *by, value_name]
+        listed = ", ".join(f"c{pos}" for pos in positions)
+        long = wide.selectExpr(*by, *flags, f"posexplode(array({listed})) AS (place, {value_name})")
+        cases = " ".join(f"WHEN {positions.index(pos)} THEN keep{pos}" for pos in own)
+        kept = f"CASE place {cases} ELSE keep END" if own else "keep"
+        pos_sql = f"get(array({', '.join(map(str, positions))}), place)"
+        group = ["place", *by, value_name]
 
     counts = ["count(*) AS n"]
     if filtered_only:

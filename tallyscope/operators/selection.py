@@ -162,7 +162,7 @@ class Selection:
                 out = out.where(clause.sql(base.schema))
         for clause in self.clauses.values():
             if isinstance(clause, OccursOnce):
-                out = _join_lone(out, base, clause.column, _fresh(base, "lone"), "left_semi")
+                out = _join_lone(out, base, clause.column, fresh_name(base, "lone"), "left_semi")
         return out
 
     def flag(self, base: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -175,7 +175,7 @@ class Selection:
         out = base
         for i, (column, clause) in enumerate(self.clauses.items()):
             if isinstance(clause, OccursOnce):
-                name = _fresh(base, f"lone{i}")
+                name = fresh_name(base, f"lone{i}")
                 out = _join_lone(out, base, column, name, "left")
                 tests[column] = f"{name} IS NOT NULL"
             else:
@@ -188,7 +188,7 @@ def all_of(tests: Iterable[str]) -> str:
     return " AND ".join(f"({t})" for t in tests) or "true"
 
 
-def _fresh(df: DataFrame, stem: str) -> str:
+def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no name in ``df`` starts with."""
     taken = {c.lower() for c in df.columns}
     name = f"_{stem}"
