@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyscope.functions import bins
-from tallyscope.functions.columns import CATEGORY, DATE, NUMBER, field, role
+from tallyscope.functions.columns import CATEGORY, DATE, NUMBER, field, role, type_name
 from tallyscope.functions.sqltext import quote_name, string_literal
 
 
@@ -74,7 +74,7 @@ def _extents(df: DataFrame, columns: list[str], finite: bool) -> dict[str, Exten
 
 
 def column_overview(df: DataFrame) -> DataFrame:
-    """Per column: role, row, null and non-finite counts, and extent, in one scan.
+    """Per column: type, role, row, null and non-finite counts, and extent, in one scan.
 
     The extent of a number column is in ``lo``/``hi``, that of a date column in
     ``t_lo``/``t_hi``.
@@ -97,10 +97,11 @@ def column_overview(df: DataFrame) -> DataFrame:
             asked.append(f"count({value}) AS finite{i}")
             odd = f"some{i} - finite{i}"
         shape.append(
-            f"{i}, {string_literal(f.name)}, '{kind}', rows, rows - some{i}, {odd}, "
+            f"{i}, {string_literal(f.name)}, {string_literal(type_name(f.dataType))}, '{kind}', "
+            f"{str(f.nullable).lower()}, rows, rows - some{i}, {odd}, "
             f"{', '.join(numbers + times)}"
         )
-    names = "pos, column, role, n_rows, n_null, n_nonfinite, lo, hi, t_lo, t_hi"
+    names = "pos, column, type_name, role, nullable, n_rows, n_null, n_nonfinite, lo, hi, t_lo, t_hi"
     return df.selectExpr(*asked).selectExpr(
         f"stack({len(shape)}, {', '.join(shape)}) AS ({names})"
     )

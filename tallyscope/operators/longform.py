@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tallyscope.functions.columns import field, text_sql
 from tallyscope.operators.selection import Selection, all_of
 
-# Columns per pass: each input row becomes this many rows inside a task.
-BATCH = 50
+# Columns per pass. Passes read disjoint columns, so more of them cost no more
+# reading; with many columns in one, the generated code is too long for the JIT.
+BATCH = 20
 
 
 def long_counts(
@@ -46,7 +47,7 @@ def long_counts(
         return counted.selectExpr(f"{pos} AS pos", value_name, "n")
     batches = [
         _one_pass(base, dict(chunk), selection.excluding(*ignore), value_name, by or {}, filtered_only)
-        for chunk in _chunks(list(values.items()), BATCH)
+        for chunk in chunks(list(values.items()))
     ]
     return reduce(DataFrame.unionByName, batches)
 
@@ -95,5 +96,5 @@ def text_values(base: DataFrame, columns: Mapping[int, str]) -> dict[int, tuple[
     }
 
 
-def _chunks(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
+def chunks(items: list) -> list[list]:
+    return [items[i : i + BATCH] for i in range(0, len(items), BATCH)]

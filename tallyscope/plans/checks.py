@@ -164,9 +164,9 @@ def profile(t: str, columns: list[tuple], keeps: dict[str, str]) -> str:
 
 
 def overview(t: str, columns: list[tuple]) -> str:
-    """``columns``: (name, role)."""
+    """``columns``: (name, type name, role, ...)."""
     parts = []
-    for pos, (name, role) in enumerate(columns):
+    for pos, (name, kind_name, role, *_) in enumerate(columns):
         lo = hi = "cast(null as double)"
         t_lo = t_hi = "cast(null as timestamp)"
         odd = "cast(0 as bigint)"
@@ -178,7 +178,8 @@ def overview(t: str, columns: list[tuple]) -> str:
         elif role == "date":
             t_lo, t_hi = f"min({name})", f"max({name})"
         parts.append(
-            f"select cast({pos} as int) pos, '{name}' as \"column\", '{role}' as role, count(*) n_rows, "
+            f"select cast({pos} as int) pos, '{name}' as \"column\", '{kind_name}' type_name, "
+            f"'{role}' as role, true as nullable, count(*) n_rows, "
             f"cast(count(*) filter (where {name} is null) as bigint) n_null, {odd} n_nonfinite, "
             f"{lo} lo, {hi} hi, {t_lo} t_lo, {t_hi} t_hi from {t}"
         )

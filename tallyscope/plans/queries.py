@@ -606,19 +606,20 @@ def profile_events_unique(spark, folder):
     return s.where_unique("user_id").profile()
 
 
-@query(
-    "column_overview",
-    checks.overview(
-        "lineitem", [(name, role) for name, _, role, _ in _LINEITEM]
-    ),
-)
+@query("column_overview", checks.overview("lineitem", _LINEITEM))
 def overview_lineitem(spark, folder):
     return column_overview(session(spark, folder, "lineitem").base)
 
 
+@query("column_overview_text", checks.overview("documents", _DOCUMENTS))
+def overview_documents(spark, folder):
+    return column_overview(session(spark, folder, "documents").base)
+
+
 @query(
     "profile_minmax",
-    "select cast(0 as int) pos, 'x' as \"column\", 'number' as role, count(*) n_rows, "
+    "select cast(0 as int) pos, 'x' as \"column\", 'float64' type_name, 'number' as role, "
+    "true as nullable, count(*) n_rows, "
     "cast(count(*) filter (where l_linenumber = 4) as bigint) n_null, "
     "cast(count(*) filter (where l_linenumber in (5, 6, 7)) as bigint) n_nonfinite, "
     "min(l_extendedprice) filter (where l_linenumber < 4) lo, "
@@ -755,8 +756,11 @@ def fmt_preview(spark, folder):
     "fmt_list",
     """
 select format('{:,}', vec_id) as vec_id,
-       '[' || array_to_string([regexp_replace(cast(cast(x as double) as varchar), '\\.0$', '')
-                               for x in embedding[1:5]], ', ')
+       '[' || array_to_string(
+         [case when x <> 0 and abs(x) < 1e-4  -- written out, not as a power, down to 1e-6
+               then rtrim(cast(cast(cast(cast(x as double) as varchar) as decimal(38,30)) as varchar), '0')
+               else regexp_replace(cast(cast(x as double) as varchar), '\\.0$', '') end
+          for x in embedding[1:5]], ', ')
            || case when len(embedding) > 5 then ', ...' else '' end || ']' as embedding,
        '[' || "label" || ', ' || vec_id || ']' as short
 from embeddings
