@@ -67,7 +67,8 @@ def binary_text(c: Column) -> Column:
         )
 
     more = F.when(F.octet_length(c) > BINARY_BYTES, "...").otherwise("")
-    return F.concat(F.lit("b'"), F.array_join(F.transform(places, one), ""), more, F.lit("'"))
+    shown = F.concat(F.lit("b'"), F.array_join(F.transform(places, one), ""), more, F.lit("'"))
+    return F.when(c.isNotNull(), shown)
 
 
 def date_text(c: Column) -> Column:
@@ -125,11 +126,12 @@ def interval_text(c: Column, dtype: T.DataType) -> Column:
         sign = F.when(months < 0, "-").otherwise("")
         size = F.abs(months)
         year, month = F.floor(size / 12).cast("bigint"), size % 12
-        return F.concat(
+        shown = F.concat(
             sign, F.lit("P"),
             F.when(year > 0, F.concat(year.cast("string"), F.lit("Y"))).otherwise(""),
             F.when((month > 0) | (year == 0), F.concat(month.cast("string"), F.lit("M"))).otherwise(""),
         )
+        return F.when(c.isNotNull(), shown)
     c = c.cast("interval day to second")
     part = {p: F.extract(F.lit(p), c) for p in ("DAY", "HOUR", "MINUTE", "SECOND")}
     seconds = part["DAY"] * 86400 + part["HOUR"] * 3600 + part["MINUTE"] * 60

@@ -15,6 +15,9 @@ from tallyscope.operators.selection import Selection
 
 TOP = 20
 
+# Above this Spark would rank all values of a column in one task.
+MOST_TOP = 900
+
 
 def folded(counts: DataFrame) -> DataFrame:
     """Fold ``(v, n, ...)`` into ``(kind, key, total)``.
@@ -90,6 +93,8 @@ def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
     pushed below the grouping and make the two exchanges differ. Lists hold
     ``top + 1`` entries at most.
     """
+    if not 0 < top <= MOST_TOP:
+        raise ValueError(f"top is between 1 and {MOST_TOP}; order value_counts for longer lists")
     entry = "'n_values', {0}, 'total', {1}, 'filtered', {2}"
     plain = "named_struct('kind', '{0}', 'rank', CAST(NULL AS INT), 'key', CAST(NULL AS STRING), "
     shown = entry.format("1L", "x.n", "x.f")

@@ -10,9 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_schema
 
 from tallyscope.functions.sqltext import quote_name, string_literal
+from tallyscope.sources.arrow import plain_batch, spark_schema
 
 # File extensions and the formats they stand for.
 EXTENSIONS = {
@@ -143,7 +143,7 @@ def read_arrow_files(spark: SparkSession, path: str) -> DataFrame:
     one = spark.read.format("binaryFile").load(first).select("content")
     found = one.mapInArrow(describe, "schema binary").head()["schema"]
     arrow_schema = pa.ipc.read_schema(pa.py_buffer(bytes(found)))
-    schema = from_arrow_schema(arrow_schema)
+    schema = spark_schema(arrow_schema)
 
     def decode(batches):
         for batch in batches:
@@ -153,7 +153,7 @@ def read_arrow_files(spark: SparkSession, path: str) -> DataFrame:
                 if not reader.schema.equals(arrow_schema):
                     raise ValueError("Arrow files differ in schema")
                 for i in range(reader.num_record_batches):
-                    yield reader.get_batch(i)
+                    yield plain_batch(reader.get_batch(i))
 
     return files.select("content").mapInArrow(decode, schema)
 

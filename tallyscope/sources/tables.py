@@ -9,6 +9,7 @@ import pyarrow.interchange
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.functions.sqltext import quote_table
+from tallyscope.sources.arrow import plain_table, spark_schema
 from tallyscope.sources.files import is_arrow_ipc
 
 
@@ -30,7 +31,8 @@ def from_data(spark: SparkSession, data: object) -> DataFrame:
     """
     if isinstance(data, DataFrame):
         return data
-    return spark.createDataFrame(_arrow_table(data))
+    table = _arrow_table(data)
+    return spark.createDataFrame(plain_table(table), schema=spark_schema(table.schema))
 
 
 def _arrow_table(data: object) -> pa.Table:

@@ -16,7 +16,11 @@ def shown(spark, sql):
 @pytest.mark.parametrize(
     ("sql", "text"),
     [
-        ("CAST(NULL AS INT)", "null"), ("NULL", "null"),
+        *[(f"CAST(NULL AS {t})", "null") for t in (
+            "INT", "DOUBLE", "DECIMAL(5,2)", "STRING", "BINARY", "BOOLEAN", "DATE", "TIMESTAMP",
+            "TIMESTAMP_NTZ", "ARRAY<DOUBLE>", "ARRAY<BINARY>", "MAP<STRING,INT>", "STRUCT<a:INT>",
+            "INTERVAL DAY TO SECOND", "INTERVAL YEAR TO MONTH")],
+        ("NULL", "null"), ("array(X'61', NULL)", "[b'a', ]"), ("array(NULL, 2.5D)", "[, 2.5]"),
         ("1234567", "1,234,567"), ("-5", "-5"), ("0", "0"), ("CAST(7 AS TINYINT)", "7"),
         ("1234.5678D", "1,234.568"), ("-0.0D", "0"), ("1.0D", "1"), ("0.0005D", "0.001"),
         ("double('NaN')", "NaN"), ("double('Infinity')", "∞"), ("1E21D", "1,000,000,000,000,000,000,000"),

@@ -81,6 +81,7 @@ def test_profile_reads_each_column_once_after_the_extents(spark, s, tmp_path):
     assert "ReadSchema: struct<id:bigint,k:bigint>" in final
     assert "ReadSchema: struct<s:string,u:string>" in final
     assert "ReusedExchange" in final
+    assert "WindowGroupLimit" in final
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 

@@ -5,9 +5,10 @@ import decimal
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tallyscope import Session
+from tallyscope import Session, preview
 from tallyscope.sources import sinks
 from tallyscope.sources.files import resolve_format
 from tallyscope.sources.tables import column_names, from_data, read_query, register
@@ -144,6 +145,58 @@ def test_in_memory_data(spark, data):
     same(from_data(spark, data))
 
 
+def every_arrow_type():
+    day, at = dt.date(2024, 2, 29), dt.datetime(2024, 2, 29, 1, 2, 3, 4)
+    return pa.table({
+        "u8": pa.array([255, None], pa.uint8()),
+        "u16": pa.array([65535, None], pa.uint16()),
+        "u32": pa.array([2**32 - 1, None], pa.uint32()),
+        "u64": pa.array([2**64 - 1, None], pa.uint64()),
+        "f16": pa.array([1.5, None], pa.float32()).cast(pa.float16()),
+        "dict": pa.array(["a", None]).dictionary_encode(),
+        "ree": pc.run_end_encode(pa.array([7, 7])),
+        "large": pa.array(["b", None], pa.large_string()),
+        "view": pa.array(["c", None], pa.string_view()),
+        "fixed": pa.array([b"xy", None], pa.binary(2)),
+        "d64": pa.array([day, None], pa.date64()),
+        "t32": pa.array([dt.time(1, 2, 3), None], pa.time32("s")),
+        "t64": pa.array([dt.time(1, 2, 3, 4), None], pa.time64("ns")),
+        "ns": pa.array([at, None], pa.timestamp("ns")),
+        "tz": pa.array([at, None], pa.timestamp("ms", "UTC")),
+        "dur": pa.array([dt.timedelta(seconds=1.5), None], pa.duration("ms")),
+        "ll": pa.array([[1, 2], None], pa.large_list(pa.uint8())),
+        "fl": pa.array([[1.0, 2.0], None], pa.list_(pa.float64(), 2)),
+        "st": pa.array([{"a": 1, "b": "x"}, None], pa.struct([("a", pa.uint8()), ("b", pa.large_string())])),
+        "map": pa.array([[("k", 1)], None], pa.map_(pa.string(), pa.int32())),
+        "dec": pa.array([decimal.Decimal("1.25"), None], pa.decimal256(12, 2)),
+        "nul": pa.nulls(2),
+    })
+
+
+def test_every_arrow_type(spark, tmp_path):
+    table = every_arrow_type()
+    write_ipc(tmp_path / "all.arrow", table)
+    frames = [from_data(spark, table), Session.of_file(spark, str(tmp_path / "all.arrow")).data()]
+    for df in frames:
+        names = {r.column: r.type_name for r in Session.of(spark, df, "arrow_types").roles().collect()}
+        assert names == {
+            "u8": "int16", "u16": "int32", "u32": "int64", "u64": "decimal(20, 0)", "f16": "float32",
+            "dict": "utf8", "ree": "int64", "large": "utf8", "view": "utf8", "fixed": "binary",
+            "d64": "date[day]", "t32": "int64", "t64": "int64", "ns": "timestamp",
+            "tz": "timestamp[tz=UTC]", "dur": "duration[µs]", "ll": "list[int16]", "fl": "list[float64]",
+            "st": "struct<a: int16, b: utf8>", "map": "map<struct<key: utf8, value: int32>>",
+            "dec": "decimal(12, 2)", "nul": "null",
+        }
+        shown = preview(df).collect()
+        assert list(shown[0]) == [
+            "255", "65,535", "4,294,967,295", "18,446,744,073,709,551,615", "1.5", "a", "7", "b", "c",
+            "b'xy'", "2024-02-29", "3,723,000,000", "3,723,000,004", "2024-02-29T01:02:03.000004",
+            "2024-02-29T01:02:03", "PT1.5S", "[1, 2]", "[1, 2]", '{"a":1,"b":"x"}', '{"k":1}', "1.25", "null",
+        ]
+        assert set(shown[1]) == {"null", "7"}
+        assert Session.of(spark, df, "arrow_types").profile().where("total IS NULL").count() == 0
+
+
 def test_polars(spark):
     polars = pytest.importorskip("polars")
     same(from_data(spark, polars.from_arrow(ROWS)))
