@@ -27,7 +27,7 @@ HEADLINE = [
     "hist_compare", "vc_linestatus", "vc_props", "vc_doc_text", "vc_html_hashed", "vc_all_unique",
     "top20_rest", "cf_qty", "cf_ship", "cf_flag", "frac_returnflag", "unique_rows", "rows_page",
     "rows_after_seek", "rows_numbered", "data_view", "profile_part", "profile_lineitem",
-    "profile_lineitem_filtered", "profile_documents", "column_overview", "fmt_preview",
+    "profile_lineitem_filtered", "profile_documents", "profile_documents_hashed", "column_overview", "fmt_preview",
 ]
 
 

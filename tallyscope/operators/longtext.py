@@ -12,15 +12,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.operators.categories import folded
+from tallyscope.operators.categories import TOP, folded, top_and_rest
 from tallyscope.operators.longform import text_values
-from tallyscope.operators.selection import Selection
+from tallyscope.operators.selection import Selection, all_of
 from tallyscope.sources.scratch import ensure_checkpoint_dir
 
 # Repeated hashes sent to every executor at most; a hash takes 8 bytes and the
 # table around it a few times that, so this stays well below 200 MB.
 BROADCAST_HASHES = 2_000_000
 
+_COUNTS = ("count(*) AS n", "count_if(keep) AS f")
+_SUMS = ("sum(n) AS n", "sum(f) AS f")
+
+
+def _aggregated(df: DataFrame, keys: list, aggregates: tuple[str, ...]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
+
+
+def _counts(rows: DataFrame, broadcast_hashes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Counts of ``(v, keep)`` rows as ``(v, n, f)``, and apart from it the sums over lone hashes.
+
+    With more than ``broadcast_hashes`` repeated hashes the texts have to be
+    shuffled after all; they are grouped directly and nothing is set apart.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    hashed = rows.withColumn("h", F.expr("CASE WHEN v IS NOT NULL THEN xxhash64(v) END"))
+    lone = F.expr("n = 1 AND h IS NOT NULL AS lone")
+    # One row per repeated hash, one for all lone hashes, one for NULL. Written
+    # once: it is read several times below, and its size decides the plan.
+    marks = _aggregated(
+        _aggregated(hashed, ["h"], _COUNTS),
+        [lone, F.expr("CASE WHEN n > 1 THEN h END AS h")],
+        _SUMS,
+    ).checkpoint(eager=True)
+    repeated = marks.where("NOT lone AND h IS NOT NULL").select("h")
+    if repeated.count() > broadcast_hashes:
+        return _aggregated(rows, ["v"], _COUNTS), None
+    again = hashed.join(F.broadcast(repeated), "h", "left_semi")
+    nulls = marks.where("NOT lone AND h IS NULL").selectExpr("CAST(NULL AS STRING) AS v", "n", "f")
+    return _aggregated(again, ["v"], _COUNTS).unionByName(nulls), marks.where("lone").select("n", "f")
+
 
 def value_counts_long_text(
     base: DataFrame,
@@ -28,35 +59,35 @@ def value_counts_long_text(
     selection: Selection = Selection(),
     broadcast_hashes: int = BROADCAST_HASHES,
 ) -> DataFrame:
-    """Same rows as ``value_counts``.
+    """Same rows as ``value_counts``."""
+    ((_, value),) = text_values(base, {0: column}).values()
+    seen = selection.excluding(column).apply(base)
+    counts, lone = _counts(seen.selectExpr(f"{value} AS v", "true AS keep"), broadcast_hashes)
+    out = folded(counts.drop("f"))
+    if lone is None:
+        return out
+    lone = lone.selectExpr("'unique' AS kind", "CAST(NULL AS STRING) AS key", "n AS total")
+    return _aggregated(out.unionByName(lone), ["kind", "key"], ("sum(total) AS total",))
 
-    With more than ``broadcast_hashes`` repeated hashes the texts have to be
-    shuffled after all, and are grouped directly.
-    """
-    ensure_checkpoint_dir(base.sparkSession)
+
+def top_values_long_text(
+    base: DataFrame,
+    column: str,
+    selection: Selection = Selection(),
+    top: int = TOP,
+    broadcast_hashes: int = BROADCAST_HASHES,
+) -> DataFrame:
+    """Same rows as ``top_values``."""
     ((_, value),) = text_values(base, {0: column}).values()
-    rows = selection.excluding(column).apply(base).selectExpr(f"{value} AS v")
-    hashed = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    by_hash = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    lone = (F.col("n") == 1) & F.col("h").isNotNull()
-    # One row per repeated hash, one for all lone hashes, one for NULL. Written
-    # once: it is read three times below, and its size decides the plan.
-    marks = (
-        by_hash.groupBy(lone.alias("lone"), F.when(~lone, F.col("h")).alias("h"))
-        .agg(F.sum("n").alias("n"))
-        .checkpoint(eager=True)
-    )
-    repeated = marks.where("NOT lone AND h IS NOT NULL").select("h")
-    if repeated.count() > broadcast_hashes:
-        return folded(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    again = hashed.join(F.broadcast(repeated), "h", "left_semi")
-    counts = again.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    settled = marks.where("lone OR h IS NULL").selectExpr(
-        "if(lone, 'unique', 'null') AS kind", "CAST(NULL AS STRING) AS key", "n AS total"
-    )
-    return (
-        folded(counts)
-        .unionByName(settled)
-        .groupBy("kind", "key")
-        .agg(F.sum("total").alias("total"))
+    flagged, tests = selection.excluding(column).flag(base)
+    rows = flagged.selectExpr(f"{value} AS v", f"{all_of(tests.values())} AS keep")
+    counts, lone = _counts(rows, broadcast_hashes)
+    out = top_and_rest(counts.selectExpr("0 AS pos", "v", "n", "f"), top).drop("pos")
+    if lone is None:
+        return out
+    lone = lone.selectExpr(
+        "'unique' AS kind", "CAST(NULL AS INT) AS rank", "CAST(NULL AS STRING) AS key",
+        "n AS n_values", "n AS total", "f AS filtered",
     )
+    sums = ("sum(n_values) AS n_values", "sum(total) AS total", "sum(filtered) AS filtered")
+    return _aggregated(out.unionByName(lone), ["kind", "rank", "key"], sums)

@@ -8,7 +8,8 @@ column once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,7 @@ from tallyscope.functions.sqltext import string_literal
 from tallyscope.operators.categories import TOP, top_and_rest
 from tallyscope.operators.histogram import Bins, bin_rows, bin_values, constant_sql
 from tallyscope.operators.longform import long_counts, text_values
+from tallyscope.operators.longtext import top_values_long_text
 from tallyscope.operators.selection import Selection
 
 
@@ -26,12 +28,15 @@ def profile(
     bins: Mapping[str, Bins],
     selection: Selection = Selection(),
     top: int = TOP,
+    long_text: Collection[str] = (),
 ) -> DataFrame:
     """One row per bin, top value, rest, unique and null bucket of every column.
 
     ``total`` counts the unfiltered table, ``filtered`` the rows under the
     clauses of all *other* columns. Number bins have their edges in
     ``x1``/``x2``, date bins in ``t1``/``t2``; category rows have ``key``.
+    Columns named in ``long_text`` are counted by hash first, each in two
+    scans of its own, so that texts seen once are not shuffled.
     """
     if not columns:
         raise ValueError("there are no columns to profile")
@@ -59,14 +64,22 @@ def profile(
                 "n AS total", "f AS filtered",
             )
         )
-    if listed:
-        counts = long_counts(base, text_values(base, listed), selection, "v")
+    tops = [
+        top_values_long_text(base, c, selection, top).selectExpr(f"{p} AS pos", "*")
+        for p, c in listed.items()
+        if c in long_text
+    ]
+    short = {p: c for p, c in listed.items() if c not in long_text}
+    if short:
+        counts = long_counts(base, text_values(base, short), selection, "v")
+        tops.append(top_and_rest(counts, top))
+    if tops:
         parts.append(
-            top_and_rest(counts, top).selectExpr(
+            reduce(DataFrame.unionByName, tops).selectExpr(
                 *lead, "rank", "key",
                 "CAST(NULL AS DOUBLE) AS x1", "CAST(NULL AS DOUBLE) AS x2",
                 "CAST(NULL AS TIMESTAMP_NTZ) AS t1", "CAST(NULL AS TIMESTAMP_NTZ) AS t2",
                 "n_values", "total", "filtered",
             )
         )
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)

@@ -277,6 +277,15 @@ def top20_doc_text(spark, folder):
     return s.top_values("text")
 
 
+@query("top20_html_hashed", checks.top_values("pages", "case when page_id % 7 <> 0 then html end", "url like 'https%'"))
+def top20_html_hashed(spark, folder):
+    s = session(
+        spark, folder, "pages", "CASE WHEN page_id % 7 <> 0 THEN html END AS html",
+        "url LIKE 'https%' AS safe",
+    )
+    return s.where_value("safe", "true").top_values("html", long_text=True)
+
+
 @query("bar_totals", checks.bar_totals("documents", "text"))
 def bar_totals_text(spark, folder):
     return bar_totals(session(spark, folder, "documents").value_counts("text"))
@@ -591,6 +600,12 @@ def profile_documents(spark, folder):
     return session(spark, folder, "documents").where_value("lang", "en").profile()
 
 
+@query("profile_documents_hashed", checks.profile("documents", _DOCUMENTS, {"lang": "lang = 'en'"}))
+def profile_documents_hashed(spark, folder):
+    s = session(spark, folder, "documents").where_value("lang", "en")
+    return s.profile(long_text=["text"])
+
+
 @query(
     "profile_events_unique",
     checks.profile(

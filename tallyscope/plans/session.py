@@ -7,7 +7,7 @@ column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field as dataclass_field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,7 +18,7 @@ from tallyscope.functions.sqltext import quote_name, quote_table
 from tallyscope.operators import categories, counts, histogram, rows
 from tallyscope.operators.cube import Cube
 from tallyscope.operators.extent import Extent, extents, histogram_columns
-from tallyscope.operators.longtext import value_counts_long_text
+from tallyscope.operators.longtext import top_values_long_text, value_counts_long_text
 from tallyscope.operators.profile import profile
 from tallyscope.operators.selection import Between, Clause, IsNull, OccursOnce, Selection, ValueIs
 from tallyscope.sources.files import FileSource, open_file
@@ -189,18 +189,27 @@ class Session:
     def value_counts_compare(self, column: str) -> DataFrame:
         return categories.value_counts_compare(self.base, column, self.selection)
 
-    def top_values(self, column: str, top: int = categories.TOP) -> DataFrame:
-        return categories.top_values(self.base, column, self.selection, top)
+    def top_values(
+        self, column: str, top: int = categories.TOP, long_text: bool = False
+    ) -> DataFrame:
+        view = top_values_long_text if long_text else categories.top_values
+        return view(self.base, column, self.selection, top)
 
     def summary(self, column: str) -> DataFrame:
         """The view of a column that fits its role."""
         return self.value_counts(column) if self._role(column) == CATEGORY else self.histogram(column)
 
-    def profile(self, columns: list[str] | None = None, top: int = categories.TOP) -> DataFrame:
+    def profile(
+        self,
+        columns: list[str] | None = None,
+        top: int = categories.TOP,
+        long_text: Collection[str] = (),
+    ) -> DataFrame:
+        """Every column's summary; name columns of long texts to spare their shuffle."""
         chosen = columns or self.columns
         binned = [c for c in chosen if self._role(c) != CATEGORY]
         bins = self.bins(*binned) if binned else {}
-        return profile(self.base, chosen, bins, self.selection, top)
+        return profile(self.base, chosen, bins, self.selection, top, long_text)
 
     def cube(self, active: str, targets: list[str] | None = None) -> Cube:
         """Counts by ``active`` for quick refreshes while its filter moves."""

@@ -6,7 +6,7 @@ import pytest
 
 from tallyscope import Session
 from tallyscope.operators.categories import bar_totals, category_label
-from tallyscope.operators.longtext import value_counts_long_text
+from tallyscope.operators.longtext import top_values_long_text, value_counts_long_text
 from tallyscope.operators.selection import Selection
 
 
@@ -104,22 +104,31 @@ def test_long_text_form_gives_the_same_rows(spark, broadcast):
     rows, s = many(spark)
     found = value_counts_long_text(s.base, "s", Selection(), broadcast_hashes=broadcast)
     assert counted(found) == counted(s.value_counts("s"))
+    state = Session.of(spark, s.base.selectExpr("s", "hash(s) % 3 = 0 AS k"), "many").where_value("k", "true")
+    found = top_values_long_text(state.base, "s", state.selection, 7, broadcast_hashes=broadcast)
+    assert sorted(map(str, found.collect())) == sorted(map(str, state.top_values("s", 7).collect()))
 
 
 def test_long_text_form_with_no_singles_or_no_rows(spark):
     for rows in ([("a",), ("a",)], [], [(None,)]):
         s = Session.of(spark, spark.createDataFrame(rows, "s string"), "few")
         assert counted(s.value_counts("s", long_text=True)) == counted(s.value_counts("s"))
+        found = s.top_values("s", long_text=True).collect()
+        assert sorted(map(str, found)) == sorted(map(str, s.top_values("s").collect()))
 
 
 def test_hash_collisions_do_not_change_long_text_counts(spark, monkeypatch):
-    from pyspark.sql import functions as F
+    from tallyscope.operators import longtext
 
     rows, s = many(spark)
-    expected = counted(s.value_counts("s"))
-    real = F.xxhash64
-    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(5)))
-    assert counted(value_counts_long_text(s.base, "s")) == expected
+    real = longtext.F.expr
+    collide = lambda text: real(text.replace("xxhash64(v)", "pmod(xxhash64(v), 5)"))
+    monkeypatch.setattr(longtext.F, "expr", collide)
+    found = value_counts_long_text(s.base, "s")
+    top = longtext.top_values_long_text(s.base, "s").collect()
+    monkeypatch.undo()
+    assert counted(found) == counted(s.value_counts("s"))
+    assert sorted(map(str, top)) == sorted(map(str, s.top_values("s").collect()))
 
 
 def test_one_hot_value(spark):
