@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.bins import NONFINITE, NumberBins
 from tallyscope.functions.columns import CATEGORY, field, role
+from tallyscope.functions.sqltext import string_literal
 from tallyscope.operators.categories import folded
 from tallyscope.operators.extent import Extent
-from tallyscope.operators.histogram import Bins, bin_values, one_column
+from tallyscope.operators.histogram import Bins, bin_rows, bin_values, constant_sql, one_column
 from tallyscope.operators.longform import long_counts, text_values
 from tallyscope.operators.selection import Between, Clause, IsNull, Selection, ValueIs
 
@@ -47,6 +49,7 @@ class Cube:
         binned = {p: n for p, n in self.targets.items() if roles[n] != CATEGORY}
         listed = {p: n for p, n in self.targets.items() if roles[n] == CATEGORY}
         self._binned = self._listed = None
+        self._binned_columns = binned
         if binned:
             values = bin_values(base, binned, bins)
             self._binned = self._build(base, values, selection, "k", slot)
@@ -76,6 +79,31 @@ class Cube:
         """Same rows as the direct value counts of ``target`` under ``clause``."""
         return folded(self._counted(self._listed, target, clause, "v"))
 
+    def refresh(self, clause: Clause | None = None) -> DataFrame:
+        """All targets at once: ``(column, kind, key, x1, x2, t1, t2, total)``."""
+        parts = []
+        if self._binned is not None:
+            counted = self._chosen(self._binned, clause).groupBy("pos", "k").agg(F.sum("n").alias("n"))
+            rows = bin_rows(counted.selectExpr("*", "n AS f"), self._binned_columns, self._bins)
+            parts.append(
+                rows.selectExpr(
+                    "pos", "kind", "CAST(NULL AS STRING) AS key", "x1", "x2", "t1", "t2", "n AS total"
+                )
+            )
+        if self._listed is not None:
+            counted = self._chosen(self._listed, clause).groupBy("pos", "v").agg(F.sum("n").alias("n"))
+            parts.append(
+                folded(counted, ("pos",)).selectExpr(
+                    "pos", "kind", "key",
+                    *[f"CAST(NULL AS DOUBLE) AS {c}" for c in ("x1", "x2")],
+                    *[f"CAST(NULL AS TIMESTAMP_NTZ) AS {c}" for c in ("t1", "t2")],
+                    "total",
+                )
+            )
+        named = constant_sql({p: string_literal(c) for p, c in self.targets.items()})
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.selectExpr(f"{named} AS column", *rows.columns[1:])
+
     def unpersist(self) -> None:
         for frame in (self._binned, self._listed):
             if frame is not None:
@@ -88,15 +116,16 @@ class Cube:
         raise ValueError(f"{target!r} is not a target of this cube")
 
     def _counted(self, frame, target, clause, value_name) -> DataFrame:
-        chosen = F.col("pos") == self._place(target)
-        if clause is not None:
-            slots = self._slots(clause)
-            if slots is None:
-                raise ValueError(f"{clause} does not follow the cube's bins; ask directly")
-            chosen = chosen & slots
-        return (
-            frame.where(chosen).groupBy(value_name).agg(F.sum("n").alias("n"))
-        )
+        chosen = self._chosen(frame, clause).where(F.col("pos") == self._place(target))
+        return chosen.groupBy(value_name).agg(F.sum("n").alias("n"))
+
+    def _chosen(self, frame: DataFrame, clause: Clause | None) -> DataFrame:
+        if clause is None:
+            return frame
+        slots = self._slots(clause)
+        if slots is None:
+            raise ValueError(f"{clause} does not follow the cube's bins; ask directly")
+        return frame.where(slots)
 
     def _slots(self, clause: Clause) -> Column | None:
         """Test on the active slot that equals ``clause`` exactly, if there is one."""

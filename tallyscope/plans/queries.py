@@ -682,6 +682,32 @@ def cube_ship_tax(spark, folder):
     )
 
 
+_MOVED = "l_quantity >= 10 and l_quantity < 25 and l_linestatus = 'F'"
+
+
+@query(
+    "cube_refresh",
+    f"""
+select 'l_discount' as "column", kind, cast(null as varchar) as "key", x1, x2,
+       cast(null as timestamp) t1, cast(null as timestamp) t2, n total
+from ({checks.number_histogram("lineitem", "l_discount", _MOVED)})
+union all
+select 'l_shipdate', kind, null, null, null, x1, x2, n
+from ({checks.date_histogram("lineitem", "l_shipdate", "3 months", _MOVED)})
+union all
+select 'l_returnflag', kind, "key", null, null, null, null, total
+from ({checks.value_counts("lineitem", "l_returnflag", _MOVED)})
+union all
+select 'l_linestatus', kind, "key", null, null, null, null, total
+from ({checks.value_counts("lineitem", "l_linestatus", "l_quantity >= 10 and l_quantity < 25")})
+""",
+)
+def cube_refresh(spark, folder):
+    s = session(spark, folder, "lineitem").where_value("l_linestatus", "F")
+    cube = s.cube("l_quantity", ["l_discount", "l_shipdate", "l_returnflag", "l_linestatus"])
+    return cube.refresh(Between("l_quantity", 10.0, 25.0, include_hi=False))
+
+
 # -- display text ----------------------------------------------------------
 
 

@@ -148,6 +148,15 @@ def test_cube_equals_direct_queries(s, active, clause):
     for c in ("f", "u", "q`t"):
         if c != active:
             assert same(cube.value_counts(c, clause), direct.value_counts(c))
+    whole = cube.refresh(clause).collect()
+    for c in cube.targets.values():
+        mine = [r for r in whole if r.column == c]
+        if c in ("f", "u", "q`t"):
+            found = {(r.kind, r.key, r.total) for r in mine}
+            assert found == {tuple(r) for r in direct.value_counts(c).collect()}
+        else:
+            found = {(r.kind, *((r.t1, r.t2) if c == "t" else (r.x1, r.x2)), r.total) for r in mine}
+            assert found == {tuple(r) for r in direct.histogram(c).collect()}
     cube.unpersist()
 
 
