@@ -39,6 +39,8 @@ class Cube:
     ):
         self.active = active
         self.targets = {pos: name for pos, name in enumerate(targets) if name != active}
+        if not self.targets:
+            raise ValueError("a cube needs a target besides the active column")
         self._bins = bins
         self._extent = extents.get(active)
         if role(field(base.schema, active).dataType) == CATEGORY:
