@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm import checks
 from tallyscope.llm.common import table
 from tallyscope.llm.quality_rules import quality_report
 from tallyscope.llm.registry import query
+from tallyscope.llm.sentence_pieces import encoded
+from tallyscope.llm.token_counts import token_counts
+from tallyscope.llm.toxicity import toxicity
 
 
 @query("op1_quality_rules", checks.quality_rules())
@@ -15,3 +20,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def tokenizer() -> bytes:
+    """The model file all token queries use; some hundred kilobytes."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_sentence_pieces")
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), tokenizer())
