@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm import checks
 from tallyscope.llm.common import table
+from tallyscope.llm.html_text import page_texts
+from tallyscope.llm.personal_data import personal_data
 from tallyscope.llm.quality_rules import quality_report
 from tallyscope.llm.registry import query
 from tallyscope.llm.sentence_pieces import encoded
@@ -42,3 +44,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentence_pieces")
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
