@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyscope.llm import checks
 from tallyscope.llm.common import table
 from tallyscope.llm.html_text import page_texts
+from tallyscope.llm.near_dups import near_duplicates
 from tallyscope.llm.personal_data import personal_data
 from tallyscope.llm.quality_rules import quality_report
 from tallyscope.llm.registry import query
@@ -54,3 +55,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
