@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm import checks
 from tallyscope.llm.common import table
+from tallyscope.llm.decontamination import contamination
 from tallyscope.llm.html_text import page_texts
 from tallyscope.llm.near_dups import near_duplicates
 from tallyscope.llm.personal_data import personal_data
@@ -60,3 +61,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_duplicates")
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
