@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Every text is cut into overlapping passages; those with enough of the benchmark's own terms are kept as sparse rows, and
-the terms' document frequencies are counted over all passages. A distributed randomised SVD of their TF-IDF matrix gives
+Every text is cut into overlapping passages; those with as many of an item's own terms as a leak must have are kept, and
+the terms' frequencies are counted over all passages. A distributed randomised SVD of their TF-IDF matrix gives
 a latent space; the items nearest to a passage by cosine there are its candidates. A candidate is a leak if the longest
 common subsequence of words covers enough of what could be covered, or if it covers less, as a paraphrase does, but the
 item's rarest terms, which answer it, stand in the document's matching passages.
@@ -10,82 +10,89 @@ item's rarest terms, which answer it, stand in the document's matching passages.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.llm.common import kept, whole
-from tallyscope.llm.pieces import Kept
 
 #: Words of a passage and from one to the next: a run of 17 words always lies whole in one.
 PASSAGE, STRIDE = 32, 16
 #: Terms in a larger share of the items say nothing about any of them.
 COMMON_SHARE = 0.025
-#: A passage with fewer distinct terms of the benchmark cannot be near an item.
+#: Own terms of an item that a passage must have in any case; an item that has fewer is known by all its words.
 TERMS = 3
-RANK, OVERSAMPLED, POWER = 96, 16, 1
+#: Singular vectors beside one for each item, oversampling, and power iterations.
+RANK, OVERSAMPLED, POWER = 32, 16, 1
 #: Cosine of a candidate; shares of the longest common subsequence that decide, alone and with the answer terms.
-COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER_TERMS, ANSWERED = 0.35, 0.6, 0.4, 6, 0.6
-#: The largest benchmark that is broadcast, in items; more are handled in blocks of this size.
-ITEMS = 20_000
+COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER_TERMS, ANSWERED = 0.3, 0.6, 0.5, 6, 0.6
+#: Items of a block, which bounds what is broadcast and the size of the matrices; more are several passes.
+ITEMS = 1_000
 
 
-def _word(word: bytes) -> int:
-    text = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]*#$%&|<>-")
-    return xxhash.xxh32_intdigest(text) if text else 0
+#: Punctuation of ASCII separates words.
+MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-_hashes = Kept(_word)
-
-
-def words_of(text: str) -> np.ndarray:
-    """Hashes of the words of a text, without the marks around them."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-    return h[h != 0]
+def split_words(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(MARKS).split()
 
 
 class Benchmark:
-    """The items' words and the terms that tell them apart."""
+    """The items' words by number, the terms that tell items apart, and how many of those a leak must have.
+
+    A word in more than `COMMON_SHARE` of the items tells nothing. A subsequence that covers enough of an item has at
+    least as many of the item's own terms as are left when all its common words are in it.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.words = [words_of(t or "") for _, t in items]
-        shares = Counter(h for w in self.words for h in set(w.tolist()))
-        most = max(1, COMMON_SHARE * len(items))
-        own = [{h for h in set(w.tolist()) if shares[h] <= most} for w in self.words]
-        own = [o if len(o) >= TERMS else set(w.tolist()) for o, w in zip(own, self.words, strict=True)]
-        self.terms = np.array(sorted(set().union(*own)), np.int64)
-        self.needed = min([TERMS, *(max(1, len(o)) for o in own)])
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """The number of each word's term, -1 for others."""
-        if not len(self.terms):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        return np.where(self.terms[at] == words, at, -1)
+        texts = [split_words(t or "") for _, t in items]
+        self.number = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+        self.words = [np.array([self.number[w] for w in t], np.int64) for t in texts]
+        self.size = len(self.number)
+        shares = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, self.words)]), minlength=self.size)
+        self.own = shares <= max(1, COMMON_SHARE * len(items))
+        of, self.need = [], np.ones(len(items), np.int64)
+        for j, w in enumerate(self.words):
+            terms = np.unique(w[self.own[w]])
+            if len(terms) < TERMS:
+                terms = np.unique(w)
+            others = int((~np.isin(w, terms)).sum())
+            self.need[j] = min(max(TERMS, math.ceil(COVERED_WITH_ANSWER * min(len(w), PASSAGE)) - others), max(1, len(terms)))
+            of.append(terms)
+        #: For each term the items it is of, one after the other.
+        term = np.concatenate([np.zeros(0, np.int64), *of])
+        item = np.repeat(np.arange(len(items)), [len(t) for t in of])
+        order = np.argsort(term, kind="stable")
+        self.items_of, self.n_of = item[order], np.bincount(term, minlength=self.size)
+        self.first_of = np.cumsum(self.n_of) - self.n_of
+        self.terms_of = of
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The number of each word of a text, -1 for words of no item."""
+        words = split_words(text)
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
 
 def _passages(bench: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sparse passages of texts, and a last row of each task with the document frequencies of the terms (`at` -1)."""
-    names = ["id", "at", "words", "terms"]
+    names = ["id", "at", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, kind = np.zeros(len(bench.terms), np.int64), 0, None
+        seen, total, kind = np.zeros(bench.size, np.int64), 0, None
         for b in batches:
             kind = b.column(0).type
             rows: list[int] = []
-            at, words, terms = [], [], []
+            at, words = [], []
             for k, text in enumerate(b.column(1)):
-                h = words_of(text.as_py())
-                place = bench.places(h)
-                where = np.flatnonzero(place >= 0)
+                h = bench.numbers(text.as_py())
+                where = np.flatnonzero(h >= 0)
                 n = max(1, math.ceil((len(h) - PASSAGE) / STRIDE) + 1) if len(h) else 0
                 total += n
                 if not len(where):
@@ -93,22 +100,23 @@ def _passages(bench: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 # a word is in the passage of its stride and in the one before
                 last = np.minimum(where // STRIDE, n - 1)
                 inside = np.concatenate([last, np.maximum(last - 1, 0)])
-                pairs = np.unique(inside * len(bench.terms) + np.concatenate([place[where]] * 2))
-                passage = pairs // len(bench.terms)
-                seen += np.bincount(pairs % len(bench.terms), minlength=len(seen))
-                found, counts = np.unique(passage, return_counts=True)
-                for p in found[counts >= bench.needed].tolist():
-                    start = min(p * STRIDE, max(0, len(h) - PASSAGE)) if p == n - 1 else p * STRIDE
+                pairs = np.unique(inside * bench.size + np.concatenate([h[where]] * 2))
+                passage, term = pairs // bench.size, pairs % bench.size
+                seen += np.bincount(term, minlength=len(seen))
+                times = bench.n_of[term]
+                item = bench.items_of[np.repeat(bench.first_of[term] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                near, counts = np.unique(np.repeat(passage, times) * len(bench.ids) + item, return_counts=True)
+                for p in np.unique(near[counts >= bench.need[near % len(bench.ids)]] // len(bench.ids)).tolist():
+                    start = p * STRIDE
                     rows.append(k)
                     at.append(start)
                     words.append(h[start : start + PASSAGE])
-                    terms.append(place[start : start + PASSAGE])
             ends = pa.array(np.cumsum([0, *map(len, words)], dtype=np.int32))
             flat = lambda parts: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), flat(words), flat(terms)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), flat(words)], names)
         if kind is not None:
             lists = pa.ListArray.from_arrays(pa.array([0, len(seen) + 1], pa.int32()), pa.array(np.append(seen, total)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), lists, lists], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), lists], names)
 
     return run
 
@@ -118,7 +126,7 @@ def _rows(terms: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     flat = flat[ends[0] : ends[-1]]
-    key, tf = np.unique((row * len(idf) + flat)[flat >= 0], return_counts=True)
+    key, tf = np.unique((row * len(idf) + flat)[(flat >= 0) & (idf[flat] > 0)], return_counts=True)
     row, term = key // len(idf), key % len(idf)
     weight = (1 + np.log(tf)) * idf[term]
     norm = np.sqrt(np.bincount(row, weight**2, len(ends) - 1))
@@ -177,19 +185,20 @@ def _product(idf: np.ndarray, test: np.ndarray, inner: bool) -> Callable:
 def _latent(rows: DataFrame, idf: np.ndarray, items: np.ndarray, item_rows: tuple) -> np.ndarray:
     """The right singular vectors of the largest singular values, by randomised subspace iteration.
 
-    The items' own rows are part of the matrix.
+    The items' own rows are part of the matrix, with as much weight together as all passages, so that the space holds
+    them however the passages are spread.
     """
-    rank = min(RANK + OVERSAMPLED, len(idf))
+    rank = min(len(items) + RANK + OVERSAMPLED, len(idf))
     test = np.random.default_rng(17).standard_normal((len(idf), rank))
     row, term, weight = item_rows
     dense = np.zeros((len(items), len(idf)))
-    dense[row, term] = weight
+    dense[row, term] = weight * math.sqrt(max(1.0, rows.count() / len(items)))
     for _ in range(1 + POWER):
         z = _summed(rows, _product(idf, test, False), rank, len(idf)) + dense.T @ (dense @ test)
         test, _ = np.linalg.qr(z)
     gram = _summed(rows, _product(idf, test, True), rank, rank) + (dense @ test).T @ (dense @ test)
     values, vectors = np.linalg.eigh(gram)
-    return test @ vectors[:, np.argsort(values)[::-1][: min(RANK, rank)]]
+    return test @ vectors[:, np.argsort(values)[::-1][: len(items) + RANK]]
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -215,7 +224,7 @@ def _matches(bench: Benchmark, idf: np.ndarray, space: np.ndarray, item_rows: tu
         for whole_batch in batches:
             for k in range(0, whole_batch.num_rows, 2000):
                 b = whole_batch.slice(k, 2000)
-                r, t, w = _rows(pa.concat_arrays([b.column(2)]), idf)
+                r, t, w = _rows(pa.concat_arrays([b.column(1)]), idf)
                 out: list[tuple] = []
                 if len(r):
                     first = np.flatnonzero(np.diff(r, prepend=-1))
@@ -261,31 +270,28 @@ _HIT = [T.StructField("item_id", T.LongType()), T.StructField("cosine", T.Double
 
 def _block_leaks(spark: SparkSession, rows: DataFrame, items: list[tuple[int, str]], schema: T.StructType) -> DataFrame:
     bench = Benchmark(items)
-    if not len(bench.terms):
+    if not bench.size:
         return spark.createDataFrame([], schema)
     found = kept(rows.mapInArrow(_passages(bench), T.StructType([rows.schema["id"], *_PASSAGE])))
-    seen = np.zeros(len(bench.terms) + 1)
+    seen = np.zeros(bench.size + 1)
     counted = found.filter("at < 0").select(F.posexplode("words").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    seen[counted.column(0).to_numpy()] = counted.column(1).to_numpy()  # as many rows as the benchmark has terms
-    idf = np.log1p((1 + seen[-1]) / (1 + seen[:-1]))
+    seen[counted.column(0).to_numpy()] = counted.column(1).to_numpy()  # as many rows as the benchmark has words
+    idf = np.where(bench.n_of > 0, np.log1p((1 + seen[-1]) / (1 + seen[:-1])), 0.0)
     passages = found.filter("at >= 0")
-    lists = [bench.places(w) for w in bench.words]
-    ends = pa.array(np.cumsum([0, *map(len, lists)], dtype=np.int32))
+    ends = pa.array(np.cumsum([0, *map(len, bench.words)], dtype=np.int32))
+    lists = bench.words
     item_rows = _rows(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))), idf)
-    space = _latent(passages.select("terms"), idf, np.array(bench.ids), item_rows)
-    answers = []
-    for place in lists:
-        own = np.unique(place[place >= 0])
-        answers.append(set(bench.terms[own[np.argsort(-idf[own], kind="stable")][:ANSWER_TERMS]].tolist()))
+    space = _latent(passages.select("words"), idf, np.array(bench.ids), item_rows)
+    answers = [set(t[np.argsort(-idf[t], kind="stable")][:ANSWER_TERMS].tolist()) for t in bench.terms_of]
     sizes = {j: max(1, len(a)) for j, a in enumerate(answers)}
-    hits = passages.select("id", "words", "terms").mapInArrow(_matches(bench, idf, space, item_rows, answers), T.StructType([rows.schema["id"], *_CANDIDATE]))
+    hits = passages.select("id", "words").mapInArrow(_matches(bench, idf, space, item_rows, answers), T.StructType([rows.schema["id"], *_CANDIDATE]))
     best = hits.groupBy("id", "item_id", "item").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
     need = spark.createDataFrame([(j, n) for j, n in sizes.items()], "item int, answers int")
     best = best.join(need, "item").filter((F.col("share") >= COVERED) | (F.size("found") >= ANSWERED * F.col("answers")))
     return best.groupBy("id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share")).select("id", "item_id", "cosine", "share")
 
 
-_PASSAGE = [T.StructField("at", T.LongType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.LongType()))]
+_PASSAGE = [T.StructField("at", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))]
 _CANDIDATE = [
     T.StructField("item_id", T.LongType()), T.StructField("item", T.IntegerType()), T.StructField("cosine", T.DoubleType()),
     T.StructField("share", T.DoubleType()), T.StructField("found", T.ArrayType(T.LongType())),
