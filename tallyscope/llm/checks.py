@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyscope.llm.license_scan import RULES, SENTENCES
 from tallyscope.llm.quality_rules import STOP_WORDS, base_failed_sql, verdict_sql
 
 
@@ -43,3 +44,23 @@ judged AS (
 def quality_rules() -> str:
     return f"""WITH {quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+
+def license_scan() -> str:
+    cases = " ".join(f"WHEN regexp_matches(',' || sentence_ids || ',', '{rule}') THEN '{name}'" for name, rule in RULES)
+    keys = ", ".join(f"'{k}'" for k in SENTENCES)
+    values = ", ".join(f"'{v}'" for v in SENTENCES.values())
+    return f"""
+WITH parts AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\\n|[.;:!?][\\x20\\x09-\\x0D]'),
+                        lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS ss
+  FROM documents),
+known AS (SELECT unnest([{keys}]) AS k, unnest([{values}]) AS v),
+hits AS (
+  SELECT rid, count(v) AS n, string_agg(v, ',' ORDER BY p) AS ids
+  FROM (SELECT rid, unnest(ss) AS s, generate_subscripts(ss, 1) AS p FROM parts) JOIN known ON s = k GROUP BY rid),
+found AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids
+  FROM parts LEFT JOIN hits USING (rid))
+SELECT doc_id, n_sentences, sentence_ids, CASE {cases} END AS license FROM found"""

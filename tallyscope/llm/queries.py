@@ -10,8 +10,10 @@ from tallyscope.llm import checks
 from tallyscope.llm.common import table
 from tallyscope.llm.decontamination import contamination
 from tallyscope.llm.html_text import page_texts
+from tallyscope.llm.license_scan import license_scan
 from tallyscope.llm.near_dups import near_duplicates
 from tallyscope.llm.personal_data import personal_data
+from tallyscope.llm.quality_model import quality_scores
 from tallyscope.llm.quality_rules import quality_report
 from tallyscope.llm.registry import query
 from tallyscope.llm.sentence_pieces import encoded
@@ -66,3 +68,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_license_scan", checks.license_scan())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
