@@ -73,12 +73,14 @@ class Cube:
 
     def histogram(self, target: str, clause: Clause | None = None) -> DataFrame:
         """Same rows as the direct histogram of ``target`` under ``clause``."""
+        self._must(target, target in self._bins, "a histogram")
         counted = self._counted(self._binned, target, clause, "k")
         aligned = counted.selectExpr("0 AS pos", "k", "n", "n AS f")
         return one_column(aligned, target, self._bins[target]).drop("f")
 
     def value_counts(self, target: str, clause: Clause | None = None) -> DataFrame:
         """Same rows as the direct value counts of ``target`` under ``clause``."""
+        self._must(target, target not in self._bins, "value counts")
         return folded(self._counted(self._listed, target, clause, "v"))
 
     def refresh(self, clause: Clause | None = None) -> DataFrame:
@@ -111,6 +113,11 @@ class Cube:
             if frame is not None:
                 frame.unpersist()
 
+    def _must(self, target: str, holds: bool, view: str) -> None:
+        self._place(target)
+        if not holds:
+            raise ValueError(f"this cube has no {view} of {target!r}")
+
     def _place(self, target: str) -> int:
         for pos, name in self.targets.items():
             if name == target:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from itertools import takewhile
+
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -97,6 +100,13 @@ def numbered_page(
     return page(df, keys, number, size).withColumn("row", place.cast("bigint"))
 
 
+def _equal_sql(key: SortKey, value: str | None) -> str:
+    """Equality as in the order; NaN by name, as statistics of cached batches leave it out."""
+    if value is None:
+        return f"{key.sql} IS NULL"
+    return f"isnan({key.sql})" if "NaN" in value and not value.startswith("'") else f"{key.sql} = {value}"
+
+
 def after_sql(keys: list[SortKey], last: list[str | None]) -> str:
     """Rows that sort strictly after ``last``, NULLs last in both directions.
 
@@ -109,33 +119,45 @@ def after_sql(keys: list[SortKey], last: list[str | None]) -> str:
             sign = "<" if key.descending else ">"
             later = f"({key.sql} {sign} {value} OR {key.sql} IS NULL)"
             branches.append(" AND ".join([*equal, later]))
-            equal.append(f"{key.sql} = {value}")
-        else:
-            equal.append(f"{key.sql} IS NULL")
+        equal.append(_equal_sql(key, value))
     return " OR ".join(f"({b})" for b in branches) or "false"
 
 
+def _key_literals(df: DataFrame, keys: list[SortKey], last: Row) -> list[str | None]:
+    values = []
+    for key in keys:
+        dtype = field(df.schema, key.column).dataType
+        value = last[key.column]
+        if not isinstance(dtype, T.AtomicType):
+            raise ValueError(f"cannot seek by {key.column!r} of type {dtype.simpleString()}")
+        if isinstance(dtype, T.TimestampType) and value is not None and value.tzinfo is None:
+            value = value.astimezone(dt.timezone.utc)  # collected in the zone of the driver
+        values.append(None if value is None else literal(value, dtype))
+    return values
+
+
 def rows_after(
-    df: DataFrame, keys: list[SortKey], last: Row, size: int = PAGE
+    df: DataFrame, keys: list[SortKey], last: Row, size: int = PAGE, shown: int = 1
 ) -> DataFrame:
     """The ``size`` rows that follow ``last``, by seeking rather than skipping.
 
-    The cost does not grow with the depth, and the leading key's bound can
-    reach the scan. Rows equal to ``last`` in every column are not repeated.
+    ``keys`` cover all columns, so rows equal to ``last`` are interchangeable: they
+    are counted, and those beyond the ``shown`` ones given so far come first. The
+    cost does not grow with the depth, and the leading key's bound can reach the scan.
     """
-    values = []
-    for key in keys:
-        f = field(df.schema, key.column)
-        value = last[key.column]
-        if not isinstance(f.dataType, T.AtomicType):
-            raise ValueError(f"cannot seek by {key.column!r} of type {f.dataType.simpleString()}")
-        values.append(None if value is None else literal(value, f.dataType))
-    out = df.where(after_sql(keys, values))
+    values = _key_literals(df, keys, last)
+    later = df.where(after_sql(keys, values))
     lead = keys[0]
     if values[0] is not None:
         sign = "<=" if lead.descending else ">="
-        out = out.where(f"{lead.sql} {sign} {values[0]} OR {lead.sql} IS NULL")
-    return page(out, keys, 0, size)
+        later = later.where(f"{lead.sql} {sign} {values[0]} OR {lead.sql} IS NULL")
+    same = " AND ".join(
+        _equal_sql(k, v) for k, v in zip(keys, values, strict=True)
+    )
+    copies = df.where(same).agg(F.count("*").alias("n"), F.any_value(F.struct("*")).alias("r"))
+    rest = F.greatest(F.least(F.col("n") - shown, F.lit(size)), F.lit(0)).cast("int")
+    again = copies.select(F.explode(F.array_repeat("r", rest)).alias("r")).select("r.*")
+    return page(again.union(page(later, keys, 0, size)), keys, 0, size)
 
 
 @dataclass(frozen=True)
@@ -146,11 +168,32 @@ class Page:
 
 
 def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page]:
-    """All pages, from one distributed sort.
+    """All pages in order, each by a seek; the driver holds one page and the next.
 
-    Sorted partitions come to the driver one at a time, the next one being
-    fetched ahead; the driver holds a page and the partitions in flight.
+    Tables with columns that cannot be seeked by come from one distributed sort.
     """
+    if not all(isinstance(field(df.schema, k.column).dataType, T.AtomicType) for k in keys):
+        yield from _pages_of_sort(df, keys, size)
+        return
+    held, first, shown = page(df, keys, 0, size).collect(), 0, 0
+    while True:
+        if held:
+            tail = sum(1 for _ in takewhile(lambda r: repr(r) == repr(held[-1]), reversed(held)))
+            shown = tail + (shown if tail == len(held) else 0)
+        if len(held) < size:
+            yield Page(first, held, True)
+            return
+        before = held[-1]
+        following = rows_after(df, keys, before, size, shown).collect()
+        yield Page(first, held, not following)
+        if not following:
+            return
+        held, first = following, first + size
+        if repr(held[0]) != repr(before):  # NaN is equal to NaN here
+            shown = 0
+
+
+def _pages_of_sort(df: DataFrame, keys: list[SortKey], size: int) -> Iterator[Page]:
     held: list[Row] = []
     first = 0
     for row in ordered(df, keys).toLocalIterator(prefetchPartitions=True):

@@ -499,6 +499,17 @@ def rows_after_seek(spark, folder):
     return s.page_after(last)
 
 
+@query(
+    "rows_after_seek_duplicates",
+    "select l_returnflag, l_linestatus from lineitem order by l_returnflag, l_linestatus limit 100 offset 500",
+)
+def rows_after_seek_duplicates(spark, folder):
+    """The page after five pages of which most rows are equal."""
+    s = session(spark, folder, "lineitem", "l_returnflag", "l_linestatus").sort("l_returnflag", "asc")
+    given = s.page(0, 500).collect()
+    return s.page_after(given[-1], shown=given.count(given[-1]))
+
+
 @query("rows_columns", "select l_shipdate, l_orderkey from lineitem where l_linenumber = 3")
 def rows_columns(spark, folder):
     path = f"{folder}/lineitem.parquet"

@@ -142,13 +142,13 @@ class Session:
     def numbered_page(self, number: int = 0, size: int = rows.PAGE) -> DataFrame:
         return rows.numbered_page(self.selection.apply(self.base), self._total(), number, size)
 
-    def page_after(self, last: Row, size: int = rows.PAGE) -> DataFrame:
-        """The rows that follow ``last`` in the total order."""
-        return rows.rows_after(self.selection.apply(self.base), self._total(), last, size)
+    def page_after(self, last: Row, size: int = rows.PAGE, shown: int = 1) -> DataFrame:
+        """The rows that follow ``last`` in the total order; ``shown`` rows equal to it were given so far."""
+        return rows.rows_after(self.selection.apply(self.base), self._total(), last, size, shown)
 
     def pages(self, size: int = rows.PAGE) -> Iterator[rows.Page]:
         seen = self.selection.apply(self.base)
-        return rows.pages(seen, self._total() if self.sorts else [], size)
+        return rows.pages(seen, self._total(), size)
 
     def numbered(self, name: str = "row") -> DataFrame:
         """All rows with their zero-based place in the total order."""

@@ -51,13 +51,21 @@ class FileSource:
     path: str
     fmt: str
     multiline: bool = False
+    header: bool = True
+    sep: str | None = None
+    #: JSON files of a folder that hold an array, beside others that hold lines.
+    arrays: tuple[str, ...] = ()
+    lines: tuple[str, ...] = ()
 
     def options(self) -> dict[str, str]:
+        """A bad record raises; so does a CSV file whose header names other columns, or these in another order."""
         out = {"multiLine": "true"} if self.multiline else {}
+        if self.fmt in TEXT_FORMATS:
+            out["mode"] = "FAILFAST"
         if self.fmt in ("csv", "tsv"):
-            out |= {"header": "true", "inferSchema": "true", "quote": '"', "escape": '"'}
-        if self.fmt == "tsv":
-            out["sep"] = "\t"
+            out |= {"header": str(self.header).lower(), "inferSchema": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
+        if self.sep or self.fmt == "tsv":
+            out["sep"] = self.sep or "\t"
         return out
 
     def spark_format(self) -> str:
@@ -69,7 +77,7 @@ class FileSource:
 
     def view_sql(self, table_sql: str) -> str | None:
         """A statement that makes the file readable under a name."""
-        if self.fmt not in TEXT_FORMATS:
+        if self.fmt not in TEXT_FORMATS or self.arrays:
             return None
         options = {"path": self.path, **self.options()}
         listed = ", ".join(f"{k} {string_literal(v)}" for k, v in options.items())
@@ -77,13 +85,22 @@ class FileSource:
 
 
 def file_source(
-    spark: SparkSession, path: str, fmt: str | None = None, multiline: bool | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    multiline: bool | None = None,
+    header: bool = True,
+    sep: str | None = None,
 ) -> FileSource:
-    """``multiline`` lets CSV fields hold line breaks; for JSON it is found out."""
+    """``multiline`` lets CSV fields hold line breaks; for JSON it is found out, for each file of a folder."""
     resolved = resolve_format(path, fmt)
-    if multiline is None:
-        multiline = resolved == "json" and _is_json_array(spark, path)
-    return FileSource(path, resolved, multiline)
+    arrays, lines = (), ()
+    if multiline is None and resolved == "json":
+        arrays, lines = _json_kinds(spark, path)
+        multiline = bool(arrays)
+        if not (arrays and lines):
+            arrays, lines = (), ()
+    return FileSource(path, resolved, bool(multiline), header, sep, arrays, lines)
 
 
 def read_file(
@@ -92,6 +109,12 @@ def read_file(
     """Lazy scan. Without ``schema`` a text file is read once more to infer it."""
     if source.fmt == "arrow":
         return read_arrow_files(spark, source.path)
+    if source.arrays:
+        parts = [
+            read_file(spark, FileSource(files, "json", multiline), schema)
+            for files, multiline in ((list(source.arrays), True), (list(source.lines), False))
+        ]
+        return parts[0].unionByName(parts[1], allowMissingColumns=True)
     reader = spark.read.format(source.spark_format()).options(**source.options())
     if schema is not None:
         reader = reader.schema(schema)
@@ -107,20 +130,28 @@ def open_file(
     schema: T.StructType | str | None = None,
     keep: bool = True,
     multiline: bool | None = None,
+    header: bool = True,
+    sep: str | None = None,
 ) -> tuple[DataFrame, FileSource]:
     """Parquet and Arrow stay lazy; text is parsed once and kept, unless ``keep`` is false."""
-    source = file_source(spark, path, fmt, multiline)
+    source = file_source(spark, path, fmt, multiline, header, sep)
     df = read_file(spark, source, schema)
     if keep and source.fmt in TEXT_FORMATS:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return df, source
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first non-blank character of the input is ``[``."""
-    start = F.substring(F.regexp_replace("value", r"^[\s\uFEFF]+", ""), 1, 1)
-    head = spark.read.text(path).select(start.alias("c")).where("c <> ''").head()
-    return head is not None and head["c"] == "["
+def _json_kinds(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The files whose first non-blank character is ``[``, and the others that are not blank.
+
+    The first split of each file decides, so the list is as long as that of the files, which the driver has anyway.
+    """
+    start = F.substring(F.regexp_replace("value", r"^[\s\uFEFF]+", ""), 1, 1).alias("c")
+    heads = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", start)
+    heads = heads.where("c <> '' AND file_block_start = 0")
+    firsts = heads.groupBy("file_path").agg(F.first("c").alias("c")).collect()
+    arrays = tuple(sorted(r["file_path"] for r in firsts if r["c"] == "["))
+    return arrays, tuple(sorted(r["file_path"] for r in firsts if r["c"] != "["))
 
 
 def read_arrow_files(spark: SparkSession, path: str) -> DataFrame:

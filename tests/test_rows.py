@@ -63,17 +63,39 @@ def test_pages_and_seeks_and_numbers_agree(spark, sorts):
 
 
 @pytest.mark.parametrize("sorts", [{"k": "asc"}, {"s": "desc"}, {"x": "desc", "r": "asc"}])
-def test_seeking_walks_the_distinct_rows(spark, sorts):
+def test_seeking_walks_all_rows(spark, sorts):
     s = ties(spark, name="seek")
-    s = Session.of(spark, s.base.distinct().cache(), "seek")
+    s = Session.of(spark, s.base.union(s.base).union(s.base.where("r > 0.9")).cache(), "seek")
     for c, d in sorts.items():
         s = s.sort(c, d)
     expected = text(order(s.base.collect(), sorts))
-    found, page = [], s.page(0, 120).collect()
+    found, page, given = [], s.page(0, 120).collect(), []
     while page:
         found += text(page)
-        page = s.page_after(page[-1], 120).collect()
+        given += page
+        page = s.page_after(page[-1], 120, sum(repr(r) == repr(page[-1]) for r in given)).collect()
     assert found == expected
+    assert text(r for p in s.pages(50) for r in p.rows) == expected
+
+
+def test_pages_of_one_row_many_times(spark):
+    s = Session.of(spark, spark.range(1000).selectExpr("id % 2 AS k"), "few").sort("k", "asc")
+    assert [r["k"] for p in s.pages() for r in p.rows] == [0] * 500 + [1] * 500
+
+
+def test_seeking_by_timestamp_on_a_driver_outside_utc(spark, monkeypatch):
+    import time
+
+    df = spark.range(60).selectExpr("timestamp_micros(1704067200000000 + id * 3600000000) AS t", "id")
+    s = Session.of(spark, df, "zones").sort("t", "asc")
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        last = s.page(0, 10).tail(1)[0]
+        assert [r["id"] for r in s.page_after(last, 10).collect()] == list(range(10, 20))
+    finally:
+        monkeypatch.undo()
+        time.tzset()
 
 
 def test_sort_keys_follow_the_schema_not_the_clicks(spark):

@@ -10,7 +10,7 @@ import pytest
 
 from tallyscope import Session, preview
 from tallyscope.sources import sinks
-from tallyscope.sources.files import resolve_format
+from tallyscope.sources.files import open_file, resolve_format
 from tallyscope.sources.tables import column_names, from_data, read_query, register
 
 ROWS = pa.table({"a": [1, 2, 3], "b": ["x", None, 'quo"te, and\ttab'], "c": [1.5, 2.5, -3.0]})
@@ -305,3 +305,28 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert named in ensure_checkpoint_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_json_folder_of_lines_and_arrays_loses_nothing(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "b.json").write_text('[\n{"a": 3},\n{"a": 4}\n]\n')
+    df, _ = open_file(spark, str(tmp_path), fmt="json", keep=False)
+    assert sorted(r["a"] for r in df.collect()) == [1, 2, 3, 4]
+
+
+def test_bad_records_and_other_headers_raise(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": oops}\n')
+    with pytest.raises(Exception):
+        open_file(spark, str(tmp_path / "bad.json"), schema="a bigint", keep=False)[0].collect()
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("x,y\n1,2\n")
+    (folder / "2.csv").write_text("y,x\n9,8\n")
+    with pytest.raises(Exception):
+        open_file(spark, str(folder), fmt="csv", schema="x bigint, y bigint", keep=False)[0].collect()
+
+
+def test_csv_without_a_header_keeps_its_first_record(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("1;2\n3;4\n")
+    df, _ = open_file(spark, str(tmp_path / "n.csv"), keep=False, header=False, sep=";")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2), (3, 4)]
