@@ -73,7 +73,7 @@ class Cube:
 
     def histogram(self, target: str, clause: Clause | None = None) -> DataFrame:
         """Same rows as the direct histogram of ``target`` under ``clause``."""
-        self._must(target, target in self._bins, "a histogram")
+        self._must(target, target in self._bins, "histogram")
         counted = self._counted(self._binned, target, clause, "k")
         aligned = counted.selectExpr("0 AS pos", "k", "n", "n AS f")
         return one_column(aligned, target, self._bins[target]).drop("f")
@@ -116,7 +116,7 @@ class Cube:
     def _must(self, target: str, holds: bool, view: str) -> None:
         self._place(target)
         if not holds:
-            raise ValueError(f"this cube has no {view} of {target!r}")
+            raise ValueError(f"this cube answers no {view} of {target!r}")
 
     def _place(self, target: str) -> int:
         for pos, name in self.targets.items():
