@@ -26,12 +26,15 @@ SEEDS = {
 }
 #: A cheaper look that every text with a match passes.
 LOOKS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": SEEDS["card"], "phone": r"\+[0-9]"}
-#: What a pattern may stand before: a run with a digit or an at sign, without the marks around it.
+#: What a pattern may stand before: a whole run with a digit or an at sign, of any length, up to its last letter or digit.
+#: A run has one place to begin, so it is read a fixed number of times.
 MARKS = r"()\[\]\"'<>,;=:"
-INSTANCE = f"(?<![^{BLANK}(\\[\"'<=:])(?=[^{BLANK}{MARKS}]*[0-9@])[^{BLANK}{MARKS}]{{4,63}}[A-Za-z0-9]"
+INSTANCE = f"(?<![^{BLANK}(\\[\"'<=:])(?=[^{BLANK}{MARKS}]*[0-9@])[^{BLANK}{MARKS}]{{4}}[^{BLANK}{MARKS}]*[A-Za-z0-9]"
 #: A pattern: the two words before, in lower case, with nothing but white space or an opening mark up to the instance.
 BEFORE = f"([^{BLANK}]+[{BLANK}]+[^{BLANK}]+?)[{BLANK}(\\[\"'<]*$"
 REACH = 120
+#: Instances of more characters are counted by their hash, so that no long text is shuffled as a key.
+LONG = 64
 ROUNDS = 3
 #: A pattern is trusted if known instances follow it so often, and in so large a share of its places.
 SUPPORT, CONFIDENCE = 3, 0.6
@@ -87,13 +90,14 @@ def _seeds(text: str) -> Column:
 
 
 def _with_pattern(text: str, spans: Column) -> Column:
-    """Spans with the pattern before each, '' if there is none."""
+    """Spans with the pattern before each, '' if there is none; a long `m` becomes a hash, which no instance can look like."""
     low = F.lower(F.col(text))
 
     def named(x: Column) -> Column:
         first = F.greatest(x["s"] - REACH, F.lit(0))
         words = F.regexp_extract(F.substring(low, first + 1, x["s"] - first), BEFORE, 1)
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), F.regexp_replace(words, f"[{BLANK}]+", " ").alias("p"))
+        key = F.when(F.length(x["m"]) > LONG, F.concat(F.lit("# "), F.sha2(x["m"], 256))).otherwise(x["m"])
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), key.alias("m"), F.regexp_replace(words, f"[{BLANK}]+", " ").alias("p"))
 
     return F.transform(spans, named)
 

@@ -129,6 +129,24 @@ def test_a_trusted_pattern_finds_what_the_seeds_miss(spark):
     assert text == "Text a here. My mail: is [EMAIL] thanks"
 
 
+def test_long_instances_are_taken_whole(spark):
+    key = "k7" + "aB3-😀x_" * 28 + "zz"
+    rows = [(i, f"Text {chr(97 + i)} here. My key: is me{i}@host.org thanks") for i in range(8)]
+    rows += [(98, f"Text y here. My key: is {key}. Thanks"), (99, "Text z here. My key: is " + "q1😀" * 30_000 + "9 thanks")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(docs).collect()}
+    assert (got[98], got[99]) == (f"context:24:{24 + len(key)}", "context:24:90025")
+    text = {r["doc_id"]: r["text"] for r in personal_data.redacted(docs).collect()}
+    assert (text[98], text[99]) == ("Text y here. My key: is [CONTEXT]. Thanks", "Text z here. My key: is [CONTEXT] thanks")
+
+
+def test_long_instances_with_one_beginning_are_told_apart(spark):
+    same = "a1" * 40
+    edges = [(i, f"Text {chr(97 + i)} here. My key: is {same}{i} thanks") for i in range(3)]
+    found = personal_data._found(spark.createDataFrame(edges, "id long, text string"))
+    assert len({c["m"] for r in found.select("cands").collect() for c in r["cands"] if c["p"] == "key: is"}) == 3
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
