@@ -176,6 +176,39 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert all(got[i]["kept"] == (label[i] == i) and got[i]["n_shingles"] == len(sets[i]) for i in got)
 
 
+def test_null_and_shared_ids_lose_no_rows_and_links(spark):
+    rng = random.Random(29)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for group in range(6):  # near copies of a text; in every second group one has no id, in the last none has one
+        base = words(60)
+        for k in range(6):
+            copy = list(base)
+            copy[7 * k + 5] = "other"
+            rows.append((None if group == 5 or group % 2 and k == 0 else 10 * group + k, " ".join(copy)))
+    rows += [(900, " ".join(words(40))), (900, " ".join(words(40)))]  # one id, two unrelated texts
+    rows += [(None, " ".join(words(40))) for _ in range(3)] + [(None, rows[-1][1])] * 3 + [(None, rows[-1][1].upper())]
+    rows += [(None, None), (None, ""), (950, ""), (950, "")]
+    sets = [shingle_set(t or "") for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = common(sets[i], sets[j])
+            if len(sets[i]) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = lambda c: min((i for (i, _), x in zip(rows, label) if x == c and i is not None), default=None)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row__ string")
+    got = near_dups.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((i, len(x), least(c)) for (i, _), x, c in zip(rows, sets, label))
+    first = near_dups.first_of_each(docs)
+    assert first.columns == docs.columns
+    out = [(r["doc_id"], r["text"]) for r in first.collect()]
+    of = {(i, t): (c, len(x)) for (i, t), c, x in zip(rows, label, sets)}
+    assert set(out) <= set(of) and all(i == least(of[i, t][0]) for i, t in out)
+    assert Counter(of[x][0] for x in out if of[x][1]) == Counter({c: 1 for c, x in zip(label, sets) if len(x)})
+    assert Counter(i for i, t in out if not t) == {None: 2, 950: 1}
+
+
 def test_passages_of_items_are_found(spark):
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("bdfklmnprst") + rng.choice("aeiou") for _ in range(3))
