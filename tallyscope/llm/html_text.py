@@ -8,6 +8,7 @@ what lies between is kept. Where a page marks its article, the distribution is t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,6 +37,22 @@ SPACES = frozenset(("br", "td", "th", "option"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OTHER = frozenset("nav footer aside form menu dialog head button".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that end tags of inline elements do not reach through; ends of blocks stop at the cells of a table.
+SPECIAL = BLOCKS | {"td", "th", "button"}
+CELLS = frozenset(("table", "caption", "td", "th", "button"))
+TABLE = frozenset(("table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"))
+#: What the start of an element ends, and what this does not reach through: the nearest, in tables the outermost.
+ITEMS = SPECIAL - {"address", "div", "p"}
+IMPLIED = {
+    **{x: (frozenset(("p",)), CELLS) for x in BLOCKS - TABLE - {"body", "head", "html"} | {"table"}},
+    **{x: (frozenset((x,)), SPECIAL - {x}) for x in ("a", "option")},
+    **{x: (frozenset(("td", "th", "caption")), frozenset(("table",))) for x in ("td", "th")},
+    "tr": (frozenset(("tr", "td", "th", "caption")), frozenset(("table",))),
+    **{x: (TABLE - {"table"}, frozenset(("table",))) for x in ("tbody", "thead", "tfoot")},
+}
+ENDED = {"li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt"))}
+#: A form with one of these in it is a wrapper of the page.
+WRAPS = re.compile(r"</form\b|<(?:article|main|nav|header|footer|aside|h1)\b|__VIEWSTATE", re.IGNORECASE)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
 NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer "
@@ -69,13 +86,85 @@ def _is_other(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, with HTML's implied ends: tag, whether text in it is left out, and what the caller adds."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, tag: str, shut: bool, at: int) -> None:
+        self.stack.append((tag, shut, at))
+        self.count[tag] += 1
+
+    def cut(self, size: int) -> None:
+        for tag, _, _ in self.stack[size:]:
+            self.count[tag] -= 1
+        del self.stack[size:]
+
+    def _reach(self, targets: frozenset, barriers: frozenset, all_of_them: bool = False) -> int:
+        """How many elements stay open if the target is ended."""
+        size = len(self.stack)
+        if any(self.count[x] for x in targets):
+            for k in range(size - 1, -1, -1):
+                tag = self.stack[k][0]
+                if tag in targets:
+                    size = k
+                    if not all_of_them:
+                        break
+                elif tag in barriers:
+                    break
+        return size
+
+    def after_start(self, tag: str) -> int:
+        """How many elements stay open when this one starts."""
+        size = len(self.stack)
+        if tag in ENDED:
+            size = self._reach(ENDED[tag], ITEMS)
+        if tag in IMPLIED:
+            size = min(size, self._reach(*IMPLIED[tag], tag in TABLE and tag != "table"))
+        return size
+
+    def after_end(self, tag: str) -> int:
+        """How many elements stay open after this end tag."""
+        if tag in TABLE:
+            barriers = frozenset(("table",))
+        else:
+            barriers = frozenset() if tag in ("body", "html") else CELLS if tag in SPECIAL else SPECIAL
+        return self._reach(frozenset((tag,)), barriers)
+
+
+def _closed(html: str) -> set[int]:
+    """Where the elements start that have an end tag of their own."""
+    open_, out = _Open(), set()
+    for m in TOKEN.finditer(html):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        size = open_.after_end(tag) if m["end"] else open_.after_start(tag)
+        if m["end"] and size < len(open_.stack):
+            out.add(open_.stack[size][2])
+        open_.cut(size)
+        if not m["end"] and tag not in VOID:
+            open_.push(tag, False, m.start())
+    return out
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters that count (not those of links; 0 outside articles), and whether in an article."""
+    """The page's lines: text, characters that count (not those of links; 0 outside articles), and whether in an article.
+
+    Elements that are no article give no lines. `main` in one gives lines again, and so does `article` in one that has no
+    end tag of its own. Inline elements are only followed in elements that are no article.
+    """
     lines: list[tuple[str, int, bool]] = []
-    open_tags: list[str] = []  # elements that are no article, and what is open in them
+    open_ = _Open()
+    stack = open_.stack
+    closed: set[int] | None = None
     parts: list[str] = []
     linked = main = at = 0
-    in_link = False
+    in_link = shut = False
+    next_wrap: re.Match | None = None
+    wrap_from = -1
 
     def flush() -> None:
         nonlocal linked
@@ -90,8 +179,28 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         flush()
         lines.extend([("", 0, main > 0)] * WINDOW)
 
+    def wraps(start: int) -> bool:
+        nonlocal next_wrap, wrap_from
+        if wrap_from < 0 or next_wrap and next_wrap.start() < start:
+            next_wrap, wrap_from = WRAPS.search(html, start), start
+        return bool(next_wrap) and next_wrap[0].lower() != "</form"
+
+    def end(size: int) -> None:
+        """Ends all but the outermost `size` elements."""
+        nonlocal main, shut, in_link
+        if size < len(stack):
+            before = shut
+            if not shut:
+                flush()
+            main -= sum(1 for tag, hidden, _ in stack[size:] if tag in MAIN and not hidden)
+            open_.cut(size)
+            shut = bool(stack) and stack[-1][1]
+            if before and not shut:
+                gap()
+                in_link = False
+
     for m in TOKEN.finditer(html):
-        if m.start() > at and not open_tags:
+        if m.start() > at and not shut:
             piece = html[at : m.start()]
             parts.append(piece)
             if in_link:
@@ -101,28 +210,63 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if tag is None:
             continue
         tag, ends = tag.lower(), bool(m["end"])
-        if open_tags:
-            if ends and tag in open_tags:
-                while open_tags.pop() != tag:
-                    pass
-                if not open_tags:
-                    gap()
-            elif not ends and tag == open_tags[0]:
-                open_tags.append(tag)
+        was_shut = shut
+        if ends or tag in IMPLIED:
+            size = open_.after_end(tag) if ends else open_.after_start(tag)
+            if size < len(stack):
+                inline = not shut and tag not in SPECIAL and size == len(stack) - 1 and stack[-1][0] == tag
+                if inline:
+                    open_.cut(size)
+                else:
+                    end(size)
+        if ends:
+            if not was_shut and not shut:
+                if tag == "a":
+                    in_link = False
+                elif tag in BLOCKS:
+                    flush()
+                    in_link = False
+                elif tag in SPACES:
+                    parts.append(" ")
+            continue
+        if tag in VOID:
+            if not shut and tag in BLOCKS:
+                flush()
+                in_link = False
+            elif not shut and tag in SPACES:
+                parts.append(" ")
             continue
-        if not ends and tag not in VOID and _is_other(tag, m["attrs"], main > 0):
+        if shut:
+            again = tag == "main"
+            if tag == "article":
+                closed = _closed(html) if closed is None else closed
+                # the outermost of the shut elements around it
+                k = len(stack) - 1
+                while k and stack[k - 1][1]:
+                    k -= 1
+                again = stack[k][2] not in closed
+            if again:
+                shut, in_link = False, False
+                main += 1
+                lines.extend([("", 0, True)] * WINDOW)
+            open_.push(tag, shut, m.start())
+            continue
+        if not (tag == "form" and wraps(m.end())) and _is_other(tag, m["attrs"], main > 0):
             gap()
-            open_tags.append(tag)
-        elif tag == "a":
-            in_link = not ends
+            shut = True
+            open_.push(tag, True, m.start())
+            continue
+        if tag == "a":
+            in_link = True
         elif tag in BLOCKS:
             flush()
             in_link = False
-            if tag in MAIN:
-                main = max(0, main + (-1 if ends else 1))
+            main += tag in MAIN
         elif tag in SPACES:
             parts.append(" ")
-    if at < len(html) and not open_tags:
+        if tag in SPECIAL or tag == "option":
+            open_.push(tag, False, m.start())
+    if at < len(html) and not shut:
         parts.append(html[at:])
     flush()
     return lines

@@ -267,3 +267,27 @@ def test_main_text_of_pages(spark):
     assert main_text(plain) == f"T\n\n{long.strip()}\n\nShort."
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, "<p>"), (4, "u", page)], "page_id long, url string, html string")
     assert {r["page_id"]: r["n_chars"] for r in page_texts(df).collect()} == {1: 0, 2: 0, 3: 0, 4: len(want)}
+
+
+def test_elements_without_end_tags_lose_no_text():
+    article = lambda x: f"<body><article>{x}</article><footer>F</footer></body>"
+    text = "<h1>Head.</h1><p>One.</p>"
+    for page in (
+        article('<p class="cookie-notice">Cookies<p>Head.<p>One.</p>'),
+        article("<ul><li class=ad>Ad<li>Head.<li>One.</ul>"),
+        article("<table><tr><td class=ad>Ad<td>Head.<tr><td><p>One.</table>"),
+        article("<dl><dt class=ad>Ad<dd>Head.<dt>One.</dl>"),
+        article(f"<section><div class=ad>Ad<div>x</div></section>{text}"),
+        article(f"<section><aside>Ad</section>{text}"),
+        article(f"<div class=ad><ul><li>x<li>y</ul><p>z<div>w</div></div>{text}"),
+        article("<h1>Head.</h1><p><span class=social>Share <span>x</span></span></p><p><span class=ad>y</p><p>One."),
+        f"<body><nav><a href=x>Menu</a><article>{text}</article></body>",
+        f"<body><form id=f><input name=__VIEWSTATE><nav>Menu</nav><article>{text}</article></form></body>",
+        f"<body><div class=widget><main>{text}</main>Not this.</div></body>",
+    ):
+        assert main_text(page) == "Head.\n\nOne.", page
+    comments = f"<body><article>{text}</article><div class=comments><article>Not this.</article></div></body>"
+    assert main_text(comments) == "Head.\n\nOne."
+    long = "This is a sentence of the article which goes on for a while. " * 3
+    assert main_text(f"<body><form><input name=__VIEWSTATE><div>{long}</div></form></body>") == long.strip()
+    assert main_text(f"<body><form>Name {long}</form></body>") == ""
