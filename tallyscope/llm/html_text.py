@@ -60,6 +60,9 @@ NAMES = frozenset(
     "pagination popup promo promoted promotion reader-comments related replies reply respond rail search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: In an article these are words of its own as well; there they need a second name, or a word of controls, beside them.
+AMBIGUOUS = frozenset("discussion form notice notices search share tags".split())
+CONTROLS = frozenset("bar box button buttons icons links tools".split())
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
 
@@ -71,19 +74,27 @@ def _names_other(word: str) -> bool:
     return first not in ("has", "with", "no", "is") and not NAMES.isdisjoint({first, *rest} - {"header"})
 
 
+def _other_in_main(words: list[str]) -> bool:
+    """Whether those of an element's classes and ids that name something else do so in an article, too."""
+    parts = {x for word in words for x in (word, *re.split(r"[-_]+", word))}
+    names = parts & NAMES
+    return bool(names - AMBIGUOUS) or len(names - {"notices"}) > 1 or not CONTROLS.isdisjoint(parts)
+
+
 def _is_other(tag: str, attrs: str, in_main: bool) -> bool:
     """Whether an element is no part of an article, by its tag, role, class or id."""
     if tag in OTHER or (tag == "header" and not in_main):
         return True
     if tag in MAIN or tag in ("html", "body") or not attrs:
         return False
+    named = []
     for name, *values in ATTR.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
-        if name in ("class", "id") and any(_names_other(word) for word in value.split()):
-            return True
-    return False
+        if name in ("class", "id"):
+            named += [word for word in value.split() if _names_other(word)]
+    return bool(named) and (not in_main or _other_in_main(named))
 
 
 class _Open:
@@ -151,7 +162,7 @@ def _closed(html: str) -> set[int]:
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters that count (not those of links; 0 outside articles), and whether in an article.
+    """The page's lines: text, characters that count (those of links only in an article), and whether in an article.
 
     Elements that are no article give no lines. `main` in one gives lines again, and so does `article` in one that has no
     end tag of its own. Inline elements are only followed in elements that are no article.
@@ -172,7 +183,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append((text, max(len(text) - linked, 0), main > 0))
+                lines.append((text, len(text) if main > 0 else max(len(text) - linked, 0), main > 0))
         linked = 0
 
     def gap() -> None:

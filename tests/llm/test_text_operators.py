@@ -291,3 +291,15 @@ def test_elements_without_end_tags_lose_no_text():
     long = "This is a sentence of the article which goes on for a while. " * 3
     assert main_text(f"<body><form><input name=__VIEWSTATE><div>{long}</div></form></body>") == long.strip()
     assert main_text(f"<body><form>Name {long}</form></body>") == ""
+
+
+def test_links_and_ambiguous_names_of_an_article_are_kept():
+    items = "".join(f"<li><a href=x>Item {k}</a>" for k in range(12))
+    page = f"<article><p>Text.</p><ul>{items}</ul><p>End.</p><div class='share-buttons'>Share</div></article>"
+    assert main_text(page).split("\n\n") == ["Text.", *(f"Item {k}" for k in range(12)), "End."]
+    for sign in ("id=discussion", "class='search-results'", "class=share-price", "class=notice", "id=tags", "class='application form'"):
+        assert main_text(f"<article><p>Text.</p><section {sign}><p>More.</p></section></article>") == "Text.\n\nMore.", sign
+    for sign in ("class='share social'", "class=search-form", "id=search-box", "class='notice cookie'", "class=comments"):
+        assert main_text(f"<article><p>Text.</p><section {sign}><p>More.</p></section></article>") == "Text.", sign
+    long = "This is a sentence of the article which goes on for a while. " * 3
+    assert main_text(f"<p>{long}</p><section class=notice><p>{long}</p></section>") == long.strip()
