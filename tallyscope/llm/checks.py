@@ -64,3 +64,24 @@ found AS (
   SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids
   FROM parts LEFT JOIN hits USING (rid))
 SELECT doc_id, n_sentences, sentence_ids, CASE {cases} END AS license FROM found"""
+
+
+def lexical_search() -> str:
+    terms = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (
+  SELECT r, doc_id, ts, len(ts) AS n FROM (
+    SELECT row_number() OVER () AS r, doc_id, {terms.format("text")} AS ts FROM documents WHERE text IS NOT NULL)
+  WHERE len(ts) > 0),
+b AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+i AS (SELECT q, item_id, t, count(*) AS times FROM (
+  SELECT row_number() OVER () AS q, item_id, unnest({terms.format("text")}) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM d)
+       WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), b),
+s AS (SELECT q, item_id, r, doc_id,
+        CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM tf JOIN i USING (t) JOIN w USING (t), b GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""

@@ -10,6 +10,7 @@ from tallyscope.llm import checks
 from tallyscope.llm.common import table
 from tallyscope.llm.decontamination import contamination
 from tallyscope.llm.html_text import page_texts
+from tallyscope.llm.lexical_search import lexical_search
 from tallyscope.llm.license_scan import license_scan
 from tallyscope.llm.near_dups import near_duplicates
 from tallyscope.llm.personal_data import personal_data
@@ -78,3 +79,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_model")
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", checks.lexical_search())
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
