@@ -85,3 +85,39 @@ s AS (SELECT q, item_id, r, doc_id,
       FROM tf JOIN i USING (t) JOIN w USING (t), b GROUP BY ALL),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+def conversation_trie() -> str:
+    key = "sha256(length(role) || ':' || role || text)"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+t AS (
+  SELECT conv_id, {key} AS k, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {key}) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS head, xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc),
+heads AS (SELECT c.conv_id, c.h, count(t.p) AS n FROM c LEFT JOIN t ON t.conv_id = c.head AND t.p <= c.h GROUP BY ALL),
+r AS (
+  SELECT c.conv_id, t.p AS q, k, size FROM c JOIN t ON t.conv_id = c.head AND t.p <= c.h
+  UNION ALL
+  SELECT t.conv_id, n + p - h, k, size FROM heads JOIN t USING (conv_id) WHERE p > h),
+paths AS (
+  SELECT conv_id, q AS d, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY q) AS k, size FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own, left(k, 64 * (d - 1)) AS up
+  FROM paths GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+s AS (SELECT left(k, 64 * e) AS k, sum(own) AS saved_tokens, count_if(n_children = 0) AS n_leaves
+      FROM (SELECT k, own, n_children, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1),
+e AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS hash FROM (
+        SELECT conv_id, arg_max(k, d) AS k FROM paths GROUP BY conv_id) GROUP BY k)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM f JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN n p ON f.d > 0 AND p.k = f.up"""

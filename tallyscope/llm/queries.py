@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm import checks
 from tallyscope.llm.common import table
+from tallyscope.llm.conversation_trie import encoded as encoded_turns
+from tallyscope.llm.conversation_trie import prefix_trie, rebuilt
 from tallyscope.llm.decontamination import contamination
 from tallyscope.llm.html_text import page_texts
 from tallyscope.llm.lexical_search import lexical_search
@@ -84,3 +86,12 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_lexical_search", checks.lexical_search())
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_trie", checks.conversation_trie())
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(rebuilt(encoded_turns(table(spark, sf_dir, "conversations"))))
+    return nodes.selectExpr(
+        "conv AS conv_id", "depth", "parent_conv AS parent_conv_id", "n_convs", "n_children", "n_leaves",
+        "saved AS saved_tokens", "ends AS ends_sha256",
+    )
