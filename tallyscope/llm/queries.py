@@ -19,6 +19,7 @@ from tallyscope.llm.personal_data import personal_data
 from tallyscope.llm.quality_model import quality_scores
 from tallyscope.llm.quality_rules import quality_report
 from tallyscope.llm.registry import query
+from tallyscope.llm.repeats import without_repeats
 from tallyscope.llm.sentence_pieces import encoded
 from tallyscope.llm.token_counts import token_counts
 from tallyscope.llm.toxicity import toxicity
@@ -95,3 +96,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv AS conv_id", "depth", "parent_conv AS parent_conv_id", "n_convs", "n_children", "n_leaves",
         "saved AS saved_tokens", "ends AS ends_sha256",
     )
+
+
+@query("op12_repeats")
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", "n_bytes", "n_bytes - octet_length(kept) AS n_removed", "CAST(size(spans) AS BIGINT) AS n_spans", "sha2(kept, 256) AS kept_sha256"
+    )
