@@ -18,7 +18,7 @@ from tallyscope.llm.shingles import MIX, mixed
 #: Bytes of a string that may not come twice, and of the anchors inside it.
 WINDOW, GRAM = 100, 20
 #: Starts looked at together in one text; bytes sorted together in a task.
-STEP, CHUNK = 1 << 20, 1 << 19
+STEP, CHUNK = 1 << 20, 1 << 16
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -76,37 +76,35 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    pad = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
+    pad = np.concatenate([s, np.zeros(3, np.int64)]).astype(np.int64)
     # one place beyond the end if n % 3 = 1, so that the two halves below stay apart
     sampled = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    triples = pad[sampled], pad[sampled + 1], pad[np.minimum(sampled + 2, n + 2)]
-    order = np.lexsort(triples[::-1])
-    new = np.zeros(len(order), bool)
-    for t in triples:
-        new[1:] |= t[order[1:]] != t[order[:-1]]
+    base = int(pad.max()) + 1
+    twos = pad[:-1] * base + pad[1:]
+    if base >= 1 << 21 or n >= 1 << 21:  # three numbers, or two and a rank, are to fit into 63 bits
+        twos = np.unique(twos, return_inverse=True)[1]
+    triples = twos[sampled] * base + pad[np.minimum(sampled + 2, n + 2)]
+    order = np.argsort(triples)
+    ordered = triples[order]
     names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new) + 1
+    names[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     if names.max() < len(order):
         order = suffix_array(names)
     rank = np.zeros(n + 3, np.int64)
     rank[sampled[order]] = np.arange(1, len(order) + 1)
     cover = sampled[order]
     cover = cover[cover < n]
+    # the remaining suffixes, by their first number and the rank of what follows
+    size = len(order) + 2
+    pairs = pad[:-1] * size + rank[1:]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], pad[rest]))]
-    # merge: how many sampled suffixes come before each of the rest, all searched at once
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(cover))
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        q, p = cover[np.minimum(middle, len(cover) - 1)], rest
-        one = q % 3 == 1
-        second = np.where(one, rank[q + 1] < rank[p + 1], pad[q + 1] < pad[p + 1])
-        tie = ~one & (pad[q + 1] == pad[p + 1])
-        before = (pad[q] < pad[p]) | (pad[q] == pad[p]) & (second | tie & (rank[q + 2] < rank[p + 2]))
-        low = np.where(open_ & before, middle + 1, low)
-        high = np.where(open_ & ~before, middle, high)
+    rest = rest[np.argsort(pairs[rest])]
+    # merge: the number of sampled suffixes before each remaining one, apart for those after which one or two places are sampled
+    one, two = cover[cover % 3 == 1], cover[cover % 3 == 2]
+    places = np.searchsorted(pairs[one], pairs[rest])
+    places += np.searchsorted(twos[two] * size + rank[two + 2], twos[rest] * size + rank[rest + 2])
     out = np.empty(n, np.int64)
-    places = low + np.arange(len(rest))
+    places += np.arange(len(rest))
     others = np.ones(n, bool)
     others[places] = False
     out[places], out[others] = rest, cover
@@ -271,7 +269,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different surroundings of one anchor are put into a difference-cover suffix array by the task that has the anchor,
     whose neighbours are compared byte by byte. Texts are shuffled twice, anchors (one for some 35 bytes) once.
     """
-    rows = whole(docs, id_col, text_col).select("id", F.xxhash64("text").alias("t"), "text")
+    rows = whole(docs, id_col, text_col)
+    # a hash of the text tells documents with one id apart; where each has its own, none is shuffled
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL")
+    rows = rows.select("id", (F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64("text")).alias("t"), "text")
     id_field = rows.schema["id"]
     long = T.LongType()
     place = [id_field, T.StructField("t", long)]
