@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.operators.longform import long_counts, text_values
+from tallyscope.operators.baseline import Baseline
+from tallyscope.operators.rows import SortKey, number_rows
+from tallyscope.operators.seen import seen_compared, seen_values
 from tallyscope.operators.selection import Selection
 
 TOP = 20
 
-# Above this Spark would rank all values of a column in one task.
-MOST_TOP = 900
+# Up to here Spark ranks by a top-k in each partition.
+SHORT_LIST = 900
 
 
 def folded(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,18 +45,20 @@ def value_counts(
 
     Singletons are decided on the filtered rows.
     """
-    values = text_values(base, {0: column})
-    return folded(long_counts(base, values, selection, "v", filtered_only=True))
+    seen = seen_values(base, {0: column}, selection, filtered_only=True)
+    return seen.selectExpr("kind", "key", "n AS total")
 
 
-def value_counts_compare(base: DataFrame, column: str, selection: Selection) -> DataFrame:
-    """``(kind, key, total, filtered, fraction)`` from one scan.
+def value_counts_compare(
+    base: DataFrame, column: str, selection: Selection, baseline: Baseline
+) -> DataFrame:
+    """``(kind, key, total, filtered, fraction)``.
 
     Singletons are decided on the baseline, so a value filtered down to one
     row keeps its own key.
     """
-    counts = long_counts(base, text_values(base, {0: column}), selection, "v")
-    return folded(counts).selectExpr("*", "filtered / total AS fraction")
+    seen = seen_compared(base, {0: column}, selection, baseline)
+    return seen.selectExpr("kind", "key", "n AS total", "f AS filtered", "f / n AS fraction")
 
 
 def bar_totals(counts: DataFrame) -> DataFrame:
@@ -83,74 +87,51 @@ def by_falling_total(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("total"), "kind", F.col("key").asc_nulls_last())
 
 
-def top_and_rest(counts: DataFrame, top: int = TOP) -> DataFrame:
+def _ranked(seen: DataFrame, top: int) -> DataFrame:
+    """Values with their ``rank`` within ``pos``, by falling count and then by text.
+
+    A short list is one top-k. For a longer one Spark's window would gather all
+    values of a column; they are numbered over ranges instead.
+    """
+    values = seen.where("kind = 'value'").select("pos", "kind", "key", "n_values", "n", "f")
+    if top <= SHORT_LIST:
+        order = "row_number() OVER (PARTITION BY pos ORDER BY n DESC, key) AS rank"
+        return values.selectExpr("*", order)
+    keys = [SortKey("pos", "pos", False), SortKey("n", "n", True), SortKey("key", "key", False)]
+    firsts = values.groupBy(F.col("pos").alias("pos_")).agg(F.count("*").alias("many"))
+    # One row per column of the table.
+    firsts = firsts.selectExpr("pos_", "sum(many) OVER (ORDER BY pos_) - many AS before")
+    numbered = number_rows(values, keys, "place").join(F.broadcast(firsts), F.col("pos") == F.col("pos_"))
+    return numbered.selectExpr(*values.columns, "CAST(place - before + 1 AS INT) AS rank")
+
+
+def top_and_rest(seen: DataFrame, top: int = TOP) -> DataFrame:
     """Per ``pos``: the ``top`` largest values, and ``rest``, ``unique``, ``null``.
 
-    ``counts`` is ``(pos, v, n, f)``, one row per value. ``ranked`` and
-    ``totals`` read the same shuffled counts (the exchange is reused): the
-    ranking keeps at most ``top + 1`` rows per partition before it moves
-    anything, and the totals are partial sums, so no step gathers the values of
-    a column. NULL is ranked too, first: a filter on the values alone would be
-    pushed below the grouping and make the two exchanges differ. Lists hold
-    ``top + 1`` entries at most.
+    ``seen`` has the rows of ``seen_values``. The ranking of a short list keeps
+    at most ``top`` rows per partition before it moves anything and all else
+    are partial sums, so no step gathers the values of a column.
     """
-    if not 0 < top <= MOST_TOP:
-        raise ValueError(f"top is between 1 and {MOST_TOP}; order value_counts for longer lists")
-    entry = "'n_values', {0}, 'total', {1}, 'filtered', {2}"
-    plain = "named_struct('kind', '{0}', 'rank', CAST(NULL AS INT), 'key', CAST(NULL AS STRING), "
-    shown = entry.format("1L", "x.n", "x.f")
-    rest = entry.format("many - size(shown)", *[
-        f"many_{c} - aggregate(shown, 0L, (a, x) -> a + x.{c})" for c in ("n", "f")
-    ])
-    return counts.sparkSession.sql(
+    if top < 1:
+        raise ValueError("top is 1 or more")
+    return seen.sparkSession.sql(
         f"""
-        WITH ranked AS (
-          SELECT pos, v, n, f, row_number() OVER (
-                   PARTITION BY pos ORDER BY v IS NULL DESC, n DESC, v) AS place
-          FROM {{counts}} WHERE n > 1 OR v IS NULL
-        ),
-        totals AS (
-          SELECT pos,
-                 count_if(v IS NOT NULL AND n > 1) AS many,
-                 sum(CASE WHEN v IS NOT NULL AND n > 1 THEN n ELSE 0L END) AS many_n,
-                 sum(CASE WHEN v IS NOT NULL AND n > 1 THEN f ELSE 0L END) AS many_f,
-                 sum(CASE WHEN v IS NOT NULL AND n = 1 THEN 1L ELSE 0L END) AS lone,
-                 sum(CASE WHEN v IS NOT NULL AND n = 1 THEN f ELSE 0L END) AS lone_f
-          FROM {{counts}} GROUP BY pos
-        ),
-        together AS (
-          SELECT pos, place, v, n, f, NULL AS many, NULL AS many_n, NULL AS many_f,
-                 NULL AS lone, NULL AS lone_f
-          FROM ranked WHERE place <= {top + 1}
-          UNION ALL
-          SELECT pos, NULL, NULL, NULL, NULL, many, many_n, many_f, lone, lone_f FROM totals
-        ),
-        gathered AS (
-          SELECT pos, max(many) AS many, max(many_n) AS many_n, max(many_f) AS many_f,
-                 max(lone) AS lone, max(lone_f) AS lone_f,
-                 sort_array(collect_list(
-                   CASE WHEN place IS NOT NULL THEN struct(place, v, n, f) END)) AS found
-          FROM together GROUP BY pos
-        ),
-        split AS (
-          SELECT *, filter(found, x -> x.v IS NULL) AS nulls,
-                 slice(filter(found, x -> x.v IS NOT NULL), 1, {top}) AS shown
-          FROM gathered
+        WITH shown AS (SELECT pos, kind, rank, key, n_values, n, f FROM {{ranked}} WHERE rank <= {top}),
+        sums AS (
+          SELECT pos, CASE kind WHEN 'value' THEN 'rest' ELSE kind END AS kind, n_values, n, f FROM {{seen}}
+          UNION ALL SELECT pos, 'rest', -n_values, -n, -f FROM shown
         )
-        SELECT pos, inline(concat(
-          transform(shown, (x, i) -> named_struct(
-            'kind', 'value', 'rank', i + 1, 'key', x.v, {shown})),
-          array({plain.format('rest')} {rest}),
-                {plain.format('unique')} {entry.format('lone', 'lone', 'lone_f')})),
-          transform(nulls, x -> {plain.format('null')} {shown}))
-        ))
-        FROM split
+        SELECT pos, kind, rank, key, n_values, n AS total, f AS filtered FROM shown
+        UNION ALL
+        SELECT pos, kind, CAST(NULL AS INT), CAST(NULL AS STRING), sum(n_values), sum(n), sum(f)
+        FROM sums GROUP BY pos, kind HAVING sum(n_values) > 0
         """,
-        counts=counts,
-    ).where("n_values > 0")
+        seen=seen, ranked=_ranked(seen, top),
+    )
 
 
-def top_values(base: DataFrame, column: str, selection: Selection, top: int = TOP) -> DataFrame:
+def top_values(
+    base: DataFrame, column: str, selection: Selection, baseline: Baseline, top: int = TOP
+) -> DataFrame:
     """``(kind, rank, key, n_values, total, filtered)`` of one column."""
-    counts = long_counts(base, text_values(base, {0: column}), selection, "v")
-    return top_and_rest(counts, top).drop("pos")
+    return top_and_rest(seen_compared(base, {0: column}, selection, baseline), top).drop("pos")

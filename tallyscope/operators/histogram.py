@@ -8,6 +8,7 @@ and so have NaN and the infinities (``kind = 'nonfinite'``).
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +20,7 @@ from tallyscope.functions.bins import (
     number_edge_sql,
 )
 from tallyscope.functions.columns import field
+from tallyscope.operators.baseline import Baseline
 from tallyscope.operators.longform import long_counts
 from tallyscope.operators.selection import Selection
 
@@ -85,11 +87,35 @@ def histogram(
 
 
 def histogram_compare(
-    base: DataFrame, column: str, bins: Bins, selection: Selection
+    base: DataFrame, column: str, bins: Bins, selection: Selection, baseline: Baseline
 ) -> DataFrame:
-    """``(kind, x1, x2, n, f)``: baseline and filtered counts from one scan."""
-    values = bin_values(base, {0: column}, {column: bins})
-    return one_column(long_counts(base, values, selection, "k"), column, bins)
+    """``(kind, x1, x2, n, f)``: baseline and filtered counts."""
+    counted = bins_compared(base, {0: column}, {column: bins}, selection, baseline)
+    return one_column(counted, column, bins)
+
+
+def bins_compared(
+    base: DataFrame, columns: Mapping[int, str], bins: Mapping[str, Bins], selection: Selection, baseline: Baseline
+) -> DataFrame:
+    """``(pos, k, n, f)`` for ``bin_rows``, which sums them.
+
+    Columns not asked before take one scan for both counts; later only the
+    filtered rows are counted, with the filter at the scan.
+    """
+    known = baseline.known("bins", columns)
+    fresh = {p: c for p, c in columns.items() if p not in known}
+    parts = []
+    if fresh:
+        counted = long_counts(base, bin_values(base, fresh, bins), selection, "k")
+        parts.append(baseline.keep("bins", fresh, counted))
+    free = {p: c for p, c in known.items() if not selection.excluding(c).clauses}
+    if free:
+        parts.append(baseline.rows("bins", free, "k", "n", "n AS f"))
+    asked = {p: c for p, c in known.items() if p not in free}
+    if asked:
+        counted = long_counts(base, bin_values(base, asked, bins), selection, "k", filtered_only=True)
+        parts += [baseline.rows("bins", asked, "k", "n", "0L AS f"), counted.selectExpr("pos", "k", "0L AS n", "n AS f")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def one_column(counted: DataFrame, column: str, bins: Bins) -> DataFrame:

@@ -1,24 +1,24 @@
 """Whole-table profile: every column summarised by its role.
 
-Three narrow scans, whatever the number of columns: the extents, the bins of
-all histogram columns, the values of all category columns. The last two read
-disjoint columns (and those the filters need), so together they read each
-column once.
+The extents take one scan, the bins of all histogram columns one, the values of
+all category columns one, and repeated long texts one more of their columns.
+The passes read disjoint columns (and those the filters need). Under another
+filter only the filtered rows are counted again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from tallyscope.functions.columns import CATEGORY, field, role, type_name
 from tallyscope.functions.sqltext import string_literal
+from tallyscope.operators.baseline import Baseline
 from tallyscope.operators.categories import TOP, top_and_rest
-from tallyscope.operators.histogram import Bins, bin_rows, bin_values, constant_sql
-from tallyscope.operators.longform import long_counts, text_values
-from tallyscope.operators.longtext import top_values_long_text
+from tallyscope.operators.histogram import Bins, bin_rows, bins_compared, constant_sql
+from tallyscope.operators.seen import seen_compared
 from tallyscope.operators.selection import Selection
 
 
@@ -28,16 +28,15 @@ def profile(
     bins: Mapping[str, Bins],
     selection: Selection = Selection(),
     top: int = TOP,
-    long_text: Collection[str] = (),
+    baseline: Baseline | None = None,
 ) -> DataFrame:
     """One row per bin, top value, rest, unique and null bucket of every column.
 
     ``total`` counts the unfiltered table, ``filtered`` the rows under the
     clauses of all *other* columns. Number bins have their edges in
     ``x1``/``x2``, date bins in ``t1``/``t2``; category rows have ``key``.
-    Columns named in ``long_text`` are counted by hash first, each in two
-    scans of its own, so that texts seen once are not shuffled.
     """
+    baseline = baseline or Baseline()
     if not columns:
         raise ValueError("there are no columns to profile")
     types = [field(base.schema, c).dataType for c in columns]
@@ -56,7 +55,7 @@ def profile(
     )
     parts = []
     if binned:
-        counted = long_counts(base, bin_values(base, binned, bins), selection, "k")
+        counted = bins_compared(base, binned, bins, selection, baseline)
         parts.append(
             bin_rows(counted, binned, bins).selectExpr(
                 *lead, "CAST(NULL AS INT) AS rank", "CAST(NULL AS STRING) AS key",
@@ -64,18 +63,9 @@ def profile(
                 "n AS total", "f AS filtered",
             )
         )
-    tops = [
-        top_values_long_text(base, c, selection, top).selectExpr(f"{p} AS pos", "*")
-        for p, c in listed.items()
-        if c in long_text
-    ]
-    short = {p: c for p, c in listed.items() if c not in long_text}
-    if short:
-        counts = long_counts(base, text_values(base, short), selection, "v")
-        tops.append(top_and_rest(counts, top))
-    if tops:
+    if listed:
         parts.append(
-            reduce(DataFrame.unionByName, tops).selectExpr(
+            top_and_rest(seen_compared(base, listed, selection, baseline), top).selectExpr(
                 *lead, "rank", "key",
                 "CAST(NULL AS DOUBLE) AS x1", "CAST(NULL AS DOUBLE) AS x2",
                 "CAST(NULL AS TIMESTAMP_NTZ) AS t1", "CAST(NULL AS TIMESTAMP_NTZ) AS t2",

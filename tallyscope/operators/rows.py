@@ -14,14 +14,9 @@ from pyspark.sql import types as T
 
 from tallyscope.functions.columns import field, orderable
 from tallyscope.functions.sqltext import literal, quote_name
-from tallyscope.sources.scratch import ensure_checkpoint_dir
 
 PAGE = 100
 
-# monotonically_increasing_id() keeps the partition number in the bits above
-# these and the place inside the partition in these.
-_PLACE_BITS = 33
-
 
 @dataclass(frozen=True)
 class SortKey:
@@ -205,24 +200,71 @@ def _pages_of_sort(df: DataFrame, keys: list[SortKey], size: int) -> Iterator[Pa
     yield Page(first, held, True)
 
 
+# Of so many buckets of the keys' hashes each gives one key, and one hash in
+# ``THINNED`` is looked at: at most ``RANGES`` bounds, whatever the table.
+RANGES = 8192
+THINNED = 64
+
+
 def number_rows(df: DataFrame, keys: list[SortKey], name: str = "row") -> DataFrame:
     """Zero-based row numbers over the whole view, without a one-task window.
 
-    The rows are range-partitioned and sorted, stamped with partition and
-    place, and written once; the start of each partition is a running sum over
-    one small row per partition.
+    Lazy: one plan finds the bounds, counts the rows of each range and numbers
+    the rows inside the ranges. The bounds depend on the rows' content alone,
+    so however often a part is computed, a row falls into the same range.
+    Copies of a row, equal in all keys, share a range.
     """
+    return _numbered(df, keys, name)
+
+
+def _before(keys: list[SortKey], a: str, b: str) -> str:
+    """Whether key struct ``a`` sorts strictly before ``b``, NULLs last."""
+    cases = []
+    for i, key in enumerate(keys):
+        x, y = f"{a}.k{i}", f"{b}.k{i}"
+        sign = ">" if key.descending else "<"
+        cases.append(f"WHEN NOT ({x} <=> {y}) THEN {x} IS NOT NULL AND ({y} IS NULL OR {x} {sign} {y})")
+    return f"CASE {' '.join(cases)} ELSE false END"
+
+
+def _numbered(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    stamp = _fresh_stamp(df)
-    placed = (
-        ordered(df, keys).withColumn(stamp, F.monotonically_increasing_id()).checkpoint(eager=True)
+    names = [f"k{i}" for i in range(len(keys))]
+    listed = ", ".join(names)
+    order = ", ".join(f"{n} {'DESC' if k.descending else 'ASC'} NULLS LAST" for n, k in zip(names, keys, strict=True))
+    columns = ", ".join(quote_name(c) for c in df.columns)
+    # Two frames over the same rows: the counts need the keys only.
+    only = df.selectExpr(*[f"{k.sql} AS {n}" for n, k in zip(names, keys, strict=True)])
+    rows = df.selectExpr(*[f"{k.sql} AS {n}" for n, k in zip(names, keys, strict=True)], f"struct({columns}) AS r")
+    bounds = spark.sql(
+        f"""
+        SELECT array_sort(collect_list(b), (x, y) -> CASE WHEN {_before(keys, "x", "y")} THEN -1
+                 WHEN {_before(keys, "y", "x")} THEN 1 ELSE 0 END) AS bounds
+        FROM (SELECT min_by(struct({listed}), h) AS b
+              FROM (SELECT {listed}, xxhash64({listed}) AS h FROM {{only}})
+              WHERE pmod(h, {THINNED}) = 0 GROUP BY pmod(shiftright(h, 16), {RANGES}))
+        """,
+        only=only,
     )
-    part = F.shiftright(F.col(stamp), _PLACE_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    # One row per partition of the sort: bounded by the shuffle partitions.
-    joined = placed.join(F.broadcast(starts), part == F.col("_part"))
-    place = F.col(stamp).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return joined.withColumn(name, F.col("_start") + place).drop(stamp, "_part", "_start")
+    steps = RANGES.bit_length()
+    middle = "CAST((s.lo + s.hi) DIV 2 AS INT)"
+    # How many bounds sort before the row, by halving.
+    place = f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(bounds)),
+        (s, i) -> CASE WHEN s.lo >= s.hi THEN s
+          WHEN {_before(keys, f"element_at(bounds, {middle} + 1)", "k")} THEN named_struct('lo', {middle} + 1, 'hi', s.hi)
+          ELSE named_struct('lo', s.lo, 'hi', {middle}) END,
+        s -> s.lo)"""
+
+    def placed(frame: DataFrame, *more: str) -> DataFrame:
+        with_bounds = spark.sql(
+            f"SELECT {', '.join([listed, *more])}, struct({listed}) AS k, (SELECT bounds FROM {{bounds}}) AS bounds FROM {{frame}}",
+            frame=frame, bounds=bounds,
+        )
+        return with_bounds.selectExpr(*names, *more, f"{place} AS _range")
+
+    starts = placed(only).groupBy("_range").agg(F.count("*").alias("_n"))
+    # A row per range in both: the sums and the join see at most RANGES + 1 rows.
+    starts = starts.selectExpr("_range AS _of", "sum(_n) OVER (ORDER BY _range) - _n AS _start")
+    inside = placed(rows, "r").selectExpr("r", "_range", f"row_number() OVER (PARTITION BY _range ORDER BY {order}) - 1 AS _place")
+    joined = inside.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    return joined.select("r.*", (F.col("_start") + F.col("_place")).cast("bigint").alias(name))

@@ -93,35 +93,40 @@ def _typed_key(key: str, dtype: T.DataType) -> str | None:
     return None
 
 
-# Most frequent values that are kept out of the shuffle of an OccursOnce join.
-# Without them no value holds more than 1 / (HOT_VALUES + 1) of the rows.
-HOT_VALUES = 64
+# Longer texts are told apart by their digest.
+SHORT = 24
+DIGEST = "md5({0})"
 
 
-def _join_lone(out: DataFrame, base: DataFrame, column: str, name: str, how: str) -> DataFrame:
-    """Join ``out`` with the values of ``column`` that occur once in ``base``.
+def digest_sql(value: str) -> str:
+    """A value of at most ``SHORT`` bytes itself, a longer one as 32 digits: never the same."""
+    return f"CASE WHEN octet_length({value}) <= {SHORT} THEN {value} ELSE {DIGEST.format(value)} END"
 
-    A frequent value can never match, yet its rows would all meet in one task.
-    So rows of the most frequent values are found by a broadcast of at most
-    ``HOT_VALUES`` rows and get a second join key that spreads them out and
-    matches nothing. Which values count as frequent does not change the result.
+
+def _lone_rows(base: DataFrame, columns: list[str], wanted: list[str], test: str) -> DataFrame:
+    """Rows that meet ``test`` and whose value in each of ``columns`` occurs once in ``base``.
+
+    Rows are grouped by the value and carry themselves along, so there is no
+    join: the rows of a frequent value become one row per task before anything
+    is shuffled, and rows that fail ``test`` are counted without their content.
     """
-    value = text_sql(column, field(base.schema, column).dataType)
-    counts = (
-        base.selectExpr(f"{value} AS {name}")
-        .where(f"{name} IS NOT NULL")
-        .groupBy(name)
-        .agg(F.count(F.lit(1)).alias(f"{name}_n"))
-    )
-    lone = counts.where(f"{name}_n = 1")
-    hot = counts.orderBy(F.desc(f"{name}_n")).limit(HOT_VALUES).where(f"{name}_n > 1")
-    hot = hot.selectExpr(f"{name} AS {name}_hot")
-    spread = out.join(F.broadcast(hot), F.expr(value) == F.col(f"{name}_hot"), "left").withColumn(
-        f"{name}_key",
-        F.expr(f"CASE WHEN {name}_hot IS NULL THEN 1L ELSE -1L - spark_partition_id() END"),
-    )
-    same = (F.expr(value) == lone[name]) & (spread[f"{name}_key"] == lone[f"{name}_n"])
-    return spread.join(lone, same, how).drop(f"{name}_hot", f"{name}_key", f"{name}_n")
+    struct = f"struct({', '.join(map(quote_name, wanted))})"
+
+    def key(name: str) -> str:
+        return f"{digest_sql(text_sql(name, field(base.schema, name).dataType))} AS k"
+
+    first, *more = columns
+    marks = base.selectExpr(key(first), f"CASE WHEN {test} THEN {struct} END AS r", "1L AS n")
+    for name in more:
+        rows = _once(marks)
+        again = rows.selectExpr("r.*").selectExpr(key(name), f"{struct} AS r", "0L AS n")
+        marks = base.selectExpr(key(name), f"CASE WHEN false THEN {struct} END AS r", "1L AS n").union(again)
+    return _once(marks).selectExpr("r.*")
+
+
+def _once(marks: DataFrame) -> DataFrame:
+    grouped = marks.where("k IS NOT NULL").groupBy("k").agg(F.expr("sum(n) AS n"), F.expr("any_value(r, true) AS r"))
+    return grouped.where("n = 1 AND r IS NOT NULL").select("r")
 
 
 @dataclass(frozen=True)
@@ -154,44 +159,30 @@ class Selection:
         ]
         return " AND ".join(parts)
 
-    def apply(self, base: DataFrame) -> DataFrame:
-        """Rows of ``base`` that meet every clause; plain clauses reach the scan."""
-        out = base
-        for clause in self.clauses.values():
-            if not isinstance(clause, OccursOnce):
-                out = out.where(clause.sql(base.schema))
-        for clause in self.clauses.values():
-            if isinstance(clause, OccursOnce):
-                out = _join_lone(out, base, clause.column, fresh_name(base, "lone"), "left_semi")
-        return out
+    def once(self) -> list[str]:
+        """Columns whose value is to occur once."""
+        return [c for c, clause in self.clauses.items() if isinstance(clause, OccursOnce)]
+
+    def tests(self, schema: T.StructType) -> dict[str, str]:
+        """A SQL test for each plain clause."""
+        return {c: v.sql(schema) for c, v in self.clauses.items() if not isinstance(v, OccursOnce)}
 
-    def flag(self, base: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-        """``base`` and a SQL test per clause to mark its rows with.
+    def apply(self, base: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+        """Rows of ``base`` that meet every clause; plain clauses reach the scan.
 
-        Used where the unfiltered counts come from the same scan, so rows must
-        be marked instead of dropped. A ``OccursOnce`` clause joins a column.
+        With ``wanted`` only these columns need to be there.
         """
-        tests: dict[str, str] = {}
+        tests, once = self.tests(base.schema), self.once()
+        if once:
+            columns = base.columns if wanted is None else list(dict.fromkeys([*wanted, *once]))
+            return _lone_rows(base, once, columns, all_of(tests.values()))
         out = base
-        for i, (column, clause) in enumerate(self.clauses.items()):
-            if isinstance(clause, OccursOnce):
-                name = fresh_name(base, f"lone{i}")
-                out = _join_lone(out, base, column, name, "left")
-                tests[column] = f"{name} IS NOT NULL"
-            else:
-                tests[column] = clause.sql(base.schema)
-        return out, tests
+        for test in tests.values():
+            out = out.where(test)
+        return out
 
 
 def all_of(tests: Iterable[str]) -> str:
     """Conjunction of SQL tests; true when there is nothing to test."""
     return " AND ".join(f"({t})" for t in tests) or "true"
 
-
-def fresh_name(df: DataFrame, stem: str) -> str:
-    """A column name that no name in ``df`` starts with."""
-    taken = {c.lower() for c in df.columns}
-    name = f"_{stem}"
-    while any(c.startswith(name) for c in taken):
-        name = "_" + name
-    return name

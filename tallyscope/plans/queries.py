@@ -207,12 +207,12 @@ def vc_doc_text(spark, folder):
 @query("vc_doc_text_hashed", checks.value_counts("documents", "text", "lang <> 'en'"))
 def vc_doc_text_hashed(spark, folder):
     s = session(spark, folder, "documents", "text", "lang <> 'en' AS other")
-    return s.where_value("other", "true").value_counts("text", long_text=True)
+    return s.where_value("other", "true").value_counts("text")
 
 
 @query("vc_html_hashed", checks.value_counts("pages", "html"))
 def vc_html_hashed(spark, folder):
-    return session(spark, folder, "pages").value_counts("html", long_text=True)
+    return session(spark, folder, "pages").value_counts("html")
 
 
 @query("vc_all_unique", checks.value_counts("customer", "c_name"))
@@ -271,6 +271,17 @@ def top20_rest_filtered(spark, folder):
     return session(spark, folder, "events").where_value("event_type", "click").top_values("props")
 
 
+@query("top1000_props", checks.top_values("events", "props", "event_type = 'click'", 1000))
+def top1000_props(spark, folder):
+    return session(spark, folder, "events").where_value("event_type", "click").top_values("props", 1000)
+
+
+@query("top1000_customers", checks.top_values("orders", "o_custkey", "o_orderstatus = 'F'", 1000))
+def top1000_customers(spark, folder):
+    s = session(spark, folder, "orders", "CAST(o_custkey AS STRING) AS customer", "o_orderstatus")
+    return s.where_value("o_orderstatus", "F").top_values("customer", 1000)
+
+
 @query("top20_doc_text", checks.top_values("documents", "case when source <> 'src0' then text end"))
 def top20_doc_text(spark, folder):
     s = session(spark, folder, "documents", "CASE WHEN source <> 'src0' THEN text END AS text")
@@ -283,7 +294,7 @@ def top20_html_hashed(spark, folder):
         spark, folder, "pages", "CASE WHEN page_id % 7 <> 0 THEN html END AS html",
         "url LIKE 'https%' AS safe",
     )
-    return s.where_value("safe", "true").top_values("html", long_text=True)
+    return s.where_value("safe", "true").top_values("html")
 
 
 @query("bar_totals", checks.bar_totals("documents", "text"))
@@ -614,7 +625,7 @@ def profile_documents(spark, folder):
 @query("profile_documents_hashed", checks.profile("documents", _DOCUMENTS, {"lang": "lang = 'en'"}))
 def profile_documents_hashed(spark, folder):
     s = session(spark, folder, "documents").where_value("lang", "en")
-    return s.profile(long_text=["text"])
+    return s.profile()
 
 
 @query(

@@ -7,7 +7,7 @@ column.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,9 +16,9 @@ from tallyscope.functions.columns import CATEGORY, field, role, roles
 from tallyscope.functions.display import preview
 from tallyscope.functions.sqltext import quote_name, quote_table
 from tallyscope.operators import categories, counts, histogram, rows
+from tallyscope.operators.baseline import Baseline
 from tallyscope.operators.cube import Cube
 from tallyscope.operators.extent import Extent, extents, histogram_columns
-from tallyscope.operators.longtext import top_values_long_text, value_counts_long_text
 from tallyscope.operators.profile import profile
 from tallyscope.operators.selection import Between, Clause, IsNull, OccursOnce, Selection, ValueIs
 from tallyscope.sources.files import FileSource, open_file
@@ -33,6 +33,7 @@ class Session:
     selection: Selection = dataclass_field(default_factory=Selection)
     sorts: dict[str, str] = dataclass_field(default_factory=dict)
     _extents: dict[str, Extent] = dataclass_field(default_factory=dict, compare=False, repr=False)
+    _baseline: Baseline = dataclass_field(default_factory=Baseline, compare=False, repr=False)
 
     # -- opening -----------------------------------------------------------
 
@@ -164,7 +165,7 @@ class Session:
         return counts.row_count(self.base, self.selection)
 
     def status(self) -> DataFrame:
-        return counts.status(self.base, self.selection)
+        return counts.status(self.base, self.selection, self._baseline)
 
     def bins(self, *columns: str) -> dict[str, histogram.Bins]:
         """Bin rules of histogram columns, from the unfiltered extents."""
@@ -179,37 +180,31 @@ class Session:
 
     def histogram_compare(self, column: str) -> DataFrame:
         bins = self.bins(column)[column]
-        return histogram.histogram_compare(self.base, column, bins, self.selection)
+        return histogram.histogram_compare(self.base, column, bins, self.selection, self._baseline)
 
-    def value_counts(self, column: str, long_text: bool = False) -> DataFrame:
-        """``long_text`` shuffles hashes of single texts instead of the texts."""
-        view = value_counts_long_text if long_text else categories.value_counts
-        return view(self.base, column, self.selection)
+    def value_counts(self, column: str) -> DataFrame:
+        return categories.value_counts(self.base, column, self.selection)
 
     def value_counts_compare(self, column: str) -> DataFrame:
-        return categories.value_counts_compare(self.base, column, self.selection)
+        return categories.value_counts_compare(self.base, column, self.selection, self._baseline)
 
-    def top_values(
-        self, column: str, top: int = categories.TOP, long_text: bool = False
-    ) -> DataFrame:
-        view = top_values_long_text if long_text else categories.top_values
-        return view(self.base, column, self.selection, top)
+    def top_values(self, column: str, top: int = categories.TOP) -> DataFrame:
+        return categories.top_values(self.base, column, self.selection, self._baseline, top)
 
     def summary(self, column: str) -> DataFrame:
         """The view of a column that fits its role."""
         return self.value_counts(column) if self._role(column) == CATEGORY else self.histogram(column)
 
-    def profile(
-        self,
-        columns: list[str] | None = None,
-        top: int = categories.TOP,
-        long_text: Collection[str] = (),
-    ) -> DataFrame:
-        """Every column's summary; name columns of long texts to spare their shuffle."""
+    def profile(self, columns: list[str] | None = None, top: int = categories.TOP) -> DataFrame:
+        """Every column's summary."""
         chosen = columns or self.columns
         binned = [c for c in chosen if self._role(c) != CATEGORY]
         bins = self.bins(*binned) if binned else {}
-        return profile(self.base, chosen, bins, self.selection, top, long_text)
+        return profile(self.base, chosen, bins, self.selection, top, self._baseline)
+
+    def close(self) -> None:
+        """Release the remembered baseline of this session and all that share it."""
+        self._baseline.close()
 
     def cube(self, active: str, targets: list[str] | None = None) -> Cube:
         """Counts by ``active`` for quick refreshes while its filter moves."""

@@ -6,8 +6,6 @@ import pytest
 
 from tallyscope import Session
 from tallyscope.operators.categories import bar_totals, category_label
-from tallyscope.operators.longtext import top_values_long_text, value_counts_long_text
-from tallyscope.operators.selection import Selection
 
 
 def counted(df) -> dict:
@@ -99,36 +97,65 @@ def test_nested_values_are_counted_by_their_json(spark):
     assert keys == {"a": "[1,2]", "s": '{"x":1}', "m": '{"k":1}', "b": "00FF"}
 
 
-@pytest.mark.parametrize("broadcast", [0, 1_000_000])
-def test_long_text_form_gives_the_same_rows(spark, broadcast):
+def long_texts(spark):
+    """Values of `many`, each long enough to be counted by digest first, with short ones beside them."""
     rows, s = many(spark)
-    found = value_counts_long_text(s.base, "s", Selection(), broadcast_hashes=broadcast)
-    assert counted(found) == counted(s.value_counts("s"))
-    state = Session.of(spark, s.base.selectExpr("s", "hash(s) % 3 = 0 AS k"), "many").where_value("k", "true")
-    found = top_values_long_text(state.base, "s", state.selection, 7, broadcast_hashes=broadcast)
-    assert sorted(map(str, found.collect())) == sorted(map(str, state.top_values("s", 7).collect()))
-
-
-def test_long_text_form_with_no_singles_or_no_rows(spark):
-    for rows in ([("a",), ("a",)], [], [(None,)]):
+    return Session.of(spark, s.base.selectExpr("CASE WHEN hash(s) % 4 = 0 THEN s ELSE concat(s, repeat('é', 30)) END AS s", "hash(s) % 3 = 0 AS k"), "many_long")
+
+
+def brute(rows):
+    n = Counter(rows)
+    out = {("value", v): k for v, k in n.items() if v is not None and k > 1}
+    lone = sum(1 for v, k in n.items() if v is not None and k == 1)
+    return out | ({("unique", None): lone} if lone else {}) | ({("null", None): n[None]} if n[None] else {})
+
+
+def test_long_texts_are_counted_as_short_ones(spark, monkeypatch):
+    s = long_texts(spark)
+    rows = s.base.collect()
+    want = brute([r.s for r in rows])
+    assert counted(s.value_counts("s")) == want
+    few = s.where_value("k", "true")
+    assert counted(few.value_counts("s")) == brute([r.s for r in rows if r.k])
+    top = {(r.kind, r.key): (r.total, r.filtered) for r in few.top_values("s", 100).collect()}
+    assert {k: v[0] for k, v in top.items()} == want
+    # few bits, so that texts seen once pass the bitmap; and digests that collide
+    monkeypatch.setattr("tallyscope.operators.seen.BITS", 2)
+    assert counted(s.value_counts("s")) == want
+    monkeypatch.setattr("tallyscope.operators.seen.BITS", 1 << 25)
+    for module in ("seen", "selection"):
+        monkeypatch.setattr(f"tallyscope.operators.{module}.DIGEST", "concat(repeat('0', 31), substring(md5({0}), 1, 1))")
+    assert counted(s.value_counts("s")) == want
+
+
+def test_no_rows_only_nulls_only_repeats(spark):
+    long = "x" * 50
+    for rows in ([("a",), ("a",)], [], [(None,)], [(long,)], [(long,), (long,)]):
         s = Session.of(spark, spark.createDataFrame(rows, "s string"), "few")
-        assert counted(s.value_counts("s", long_text=True)) == counted(s.value_counts("s"))
-        found = s.top_values("s", long_text=True).collect()
-        assert sorted(map(str, found)) == sorted(map(str, s.top_values("s").collect()))
-
-
-def test_hash_collisions_do_not_change_long_text_counts(spark, monkeypatch):
-    from tallyscope.operators import longtext
-
-    rows, s = many(spark)
-    real = longtext.F.expr
-    collide = lambda text: real(text.replace("xxhash64(v)", "pmod(xxhash64(v), 5)"))
-    monkeypatch.setattr(longtext.F, "expr", collide)
-    found = value_counts_long_text(s.base, "s")
-    top = longtext.top_values_long_text(s.base, "s").collect()
-    monkeypatch.undo()
-    assert counted(found) == counted(s.value_counts("s"))
-    assert sorted(map(str, top)) == sorted(map(str, s.top_values("s").collect()))
+        assert counted(s.value_counts("s")) == brute([r for (r,) in rows])
+        assert {(r.kind, r.key): r.total for r in s.top_values("s").collect()} == brute([r for (r,) in rows])
+
+
+def test_baseline_is_asked_once_and_filters_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).selectExpr("id", "id % 7 k", "concat('value ', id % 5) s", "concat(repeat('long ', 9), id % 400) u").write.parquet(path)
+    s = Session.of_file(spark, path, table="clicks")
+    first = s.where_range("id", 10, 600)
+    for view in ("status", "s", "u", "k"):
+        ask = (lambda x: x.status()) if view == "status" else (lambda x: x.histogram_compare("k")) if view == "k" else (lambda x: x.value_counts_compare(view))
+        fresh = lambda x: ask(Session(x.base, "fresh", selection=x.selection))
+        for state in (first, s.where_range("id", 500, 505), s, s.where_range("id", 10, 700).where_value("k", "3"), s.where_unique("u")):
+            got = ask(state)
+            assert sorted(map(str, got.collect())) == sorted(map(str, fresh(state).collect()))
+        plan = ask(s.where_range("id", 20, 30))
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(id,20)" in text and "InMemory" in text, text
+    state = s.where_range("id", 100, 200)
+    assert sorted(map(str, state.profile().collect())) == sorted(map(str, Session(s.base, "fresh", selection=state.selection).profile().collect()))
+    s.close()
+    assert s.status().head().label == "1,000 rows"
 
 
 def test_one_hot_value(spark):
@@ -136,5 +163,4 @@ def test_one_hot_value(spark):
     s = Session.of(spark, df, "hot")
     expected = {("value", "hot"): 10_000, ("unique", None): 20_000}
     assert counted(s.value_counts("s")) == expected
-    assert counted(s.value_counts("s", long_text=True)) == expected
     assert s.where_unique("s").count().head()[0] == 20_000

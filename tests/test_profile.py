@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyscope import Between, IsNull, Session, ValueIs
 from tallyscope.operators.extent import column_overview
+from tallyscope.operators.histogram import bins_compared
+from tallyscope.operators.seen import seen_values
 
 
 @pytest.fixture(scope="module")
@@ -69,20 +71,32 @@ def test_profile_of_chosen_columns(s):
     assert [(r.kind, r.total) for r in rows if r.column == "u"] == [("unique", 5000)]
 
 
-def test_profile_reads_each_column_once_after_the_extents(spark, s, tmp_path):
+def final_plan(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("== Initial Plan ==")]
+
+
+def test_category_columns_take_two_scans_however_many_have_long_texts(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
     path = str(tmp_path / "t.parquet")
-    spark.range(1000).selectExpr("id", "id % 7 k", "CAST(id % 5 AS STRING) s", "CAST(id AS STRING) u").write.parquet(path)
-    profile = Session.of_file(spark, path, table="scans").profile()
-    profile.collect()
-    plan = profile._jdf.queryExecution().executedPlan().toString()
-    final = plan[: plan.index("== Initial Plan ==")]
+    long = [f"concat(repeat('long text ', 5), id % {n}) AS u{n}" for n in (3, 500, 1000)]
+    spark.range(1000).selectExpr("id", "id % 7 k", "CAST(id % 5 AS STRING) s", *long).write.parquet(path)
+    state = Session.of_file(spark, path, table="scans").where_range("id", 10, 500)
+    columns = {p: c for p, c in enumerate(state.columns) if c not in ("id", "k")}
+    final = final_plan(seen_values(state.base, columns, state.selection))
     assert final.count("FileScan") == 2
-    assert "ReadSchema: struct<id:bigint,k:bigint>" in final
-    assert "ReadSchema: struct<s:string,u:string>" in final
-    assert "ReusedExchange" in final
-    assert "WindowGroupLimit" in final
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "ReusedExchange" in final and "BroadcastHashJoin" in final
+    assert "CartesianProduct" not in final and "NestedLoop" not in final
+    # no long text comes twice: the second scan is left out
+    final = final_plan(seen_values(state.base, {0: "s", 1: "u1000"}))
+    assert final.count("FileScan") == 1
+    # the bins of all other columns are one scan more
+    bins = state.bins()
+    counted = bins_compared(state.base, {0: "id", 1: "k"}, bins, state.selection, state._baseline)
+    counted.collect()
+    assert "ReadSchema: struct<id:bigint,k:bigint>" in counted._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in state.profile()._jdf.queryExecution().executedPlan().toString()
 
 
 def test_overview(s):

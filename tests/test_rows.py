@@ -121,7 +121,32 @@ def test_unsorted_pages_keep_the_order_of_the_table(spark):
     assert [r.id for p in s.pages() for r in p.rows] == list(range(250))
 
 
-def test_numbering_spreads_equal_rows(spark):
+def test_numbering_runs_no_job_before_an_action(spark, monkeypatch):
+    rng = random.Random(7)
+    values = [None, float("nan"), -0.0, 0.0, 1.5, -2.0]
+    rows = [(rng.choice(values), rng.choice(["", "b", None, "é"]), i % 97) for i in range(3000)]
+    s = Session.of(spark, spark.createDataFrame(rows, "x double, `s p` string, i int").repartition(7), "lazy")
+    state = s.sort("x", "desc").sort("i", "asc")
+    spark.sparkContext.setJobGroup("numbering", "")
+    numbered = state.numbered("row")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("numbering")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    ordered = [tuple(map(repr, r)) for r in state.page(0, 3000).collect()]
+    plain = lambda r: tuple(repr(0.0 if x == 0 else x) for x in r)
+    found = sorted(numbered.collect(), key=lambda r: r["row"])
+    assert [r["row"] for r in found] == list(range(3000))
+    assert [plain(r[:3]) for r in found] == [plain(r) for r in state.page(0, 3000).collect()] and len(ordered) == 3000
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" in plan  # of the sums over one row a range
+    for n in (0, 1, 3):
+        few = Session.of(spark, spark.range(n).toDF("id"), "few").sort("id", "desc").numbered("row")
+        assert sorted((r.id, r.row) for r in few.collect()) == [(i, n - 1 - i) for i in range(n)]
+    monkeypatch.setattr("tallyscope.operators.rows.THINNED", 1)  # a bound at nearly every row
+    again = sorted(state.numbered("row").collect(), key=lambda r: r["row"])
+    assert [plain(r) for r in again] == [plain(r) for r in found]
+
+
+def test_numbering_of_equal_rows(spark):
     s = Session.of(spark, spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END k"), "same")
     numbered = s.sort("k", "asc").numbered()
     assert numbered.selectExpr("min(row)", "max(row)", "count(DISTINCT row)").head()[0:3] == (0, 19_999, 20_000)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+from collections import Counter
 
 import pytest
 
@@ -118,31 +119,42 @@ def test_sql_of_a_clause():
     assert "HAVING count(*) = 1" in OccursOnce("a`b").sql(schema, "`t`")
 
 
-def test_frequent_values_do_not_meet_in_one_task(spark):
-    df = spark.range(0, 40_000, 1, 8).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN CAST(id AS STRING) "
-        "ELSE CAST(id % 300 AS STRING) END v",
-        "id % 2 AS k",
-    )
-    t = Session.of(spark, df, "hot_rows").where_unique("v")
-    counts: dict = {}
-    for r in df.collect():
-        counts.setdefault(r.v, []).append(r.k)
-    once = [v for v, ks in counts.items() if len(ks) == 1]
-    assert t.count().head()[0] == len(once)
-    compared = t.value_counts_compare("k").collect()
-    assert sum(r.total for r in compared) == 40_000
-    assert sum(r.filtered for r in compared) == len(once)
-    assert t.data().columns == ["v", "k"]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        plain = t.value_counts_compare("k")
-        assert sorted(map(str, plain.collect())) == sorted(map(str, compared))
-        plan = plain._jdf.queryExecution().executedPlan().toString()
-        assert "ReusedExchange" in plan and "SortMergeJoin" in plan
-        final = plan[: plan.index("== Initial Plan ==")]
-        assert "_lone0_key" in final[final.index("SortMergeJoin") :].split("\n")[0]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+def test_many_frequent_values_are_combined_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 60_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('lone value of many letters ', id) "
+        "ELSE concat('one of 200 ', id % 200) END v",
+        "id % 2 AS k", "concat('other ', id % 7) AS w", "map('a', id) AS m", "id AS `odd name`",
+    ).write.parquet(path)
+    t = Session.of_file(spark, path, table="hot_rows").where_unique("v")
+    rows = t.base.collect()
+    n = Counter(r.v for r in rows)
+    once = sorted(r["odd name"] for r in rows if n[r.v] == 1)
+    assert t.count().head()[0] == len(once) == 20_000
+    found = t.data()
+    assert found.columns == ["v", "k", "w", "m", "odd name"] and found.schema["m"].dataType == t.base.schema["m"].dataType
+    assert sorted(r["odd name"] for r in found.collect()) == once
+    some = t.where_value("k", "1").where_range("odd name", 100, 5000)
+    assert {r["odd name"] for r in some.data().collect()} == {r["odd name"] for r in rows if n[r.v] == 1 and r.k == 1 and 100 <= r["odd name"] <= 5000}
+    compared = t.value_counts_compare("w").collect()
+    assert sum(r.total for r in compared) == 60_000 and sum(r.filtered for r in compared) == len(once)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("FileScan") == 1 and "Join" not in final and "partial_any_value" in final.replace("partial_first", "partial_any_value")
+    # of 400 frequent values no more than one row a task is shuffled: the tasks after it get even shares
+    counts = t.count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "odd name" not in plan[plan.index("ReadSchema") :].split("\n")[0]
+
+
+def test_two_clauses_on_what_occurs_once(spark):
+    rows = [("a", "x"), ("b", "y"), ("c", "y"), ("d", "z"), ("d", "u"), (None, "v"), ("e", None), ("f", "w" * 40), ("g" * 40, "w" * 40), ("h" * 40, "q")]
+    t = Session.of(spark, spark.createDataFrame(rows, "v string, w string"), "two").where_unique("v").where_unique("w")
+    n, m = Counter(v for v, _ in rows), Counter(w for _, w in rows)
+    both = [(v, w) for v, w in rows if v and w and n[v] == 1 and m[w] == 1]
+    assert sorted(map(tuple, t.data().collect())) == sorted(both)
+    assert t.count().head()[0] == len(both)
+    # each view skips its own clause
+    seen = {(r.kind, r.key): (r.total, r.filtered) for r in t.value_counts_compare("v").collect()}
+    assert seen["value", "d"] == (2, 2) and seen["null", None] == (1, 1)
+    assert seen["unique", None] == (7, sum(1 for v, w in rows if v and n[v] == 1 and w and m[w] == 1))
