@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import kept, whole
+from tallyscope.llm.common import whole
 from tallyscope.llm.shingles import MIX, mixed
 
 #: Bytes of a string that may not come twice, and of the anchors inside it.
@@ -183,11 +183,13 @@ def runs_of(again: np.ndarray, at: int) -> list[dict[str, int]]:
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _RUNS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_TEXTS_ARROW = pa.list_(pa.struct([("gram", pa.int64()), ("low", pa.int64()), ("said", pa.binary())]))
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts and their anchors met elsewhere: the bytes of copied windows, and the surroundings to compare."""
+    """Of texts and their anchors met elsewhere: a row with the bytes of copied windows, and one for each surroundings to compare.
+
+    The former needs no comparison; it has the hash of some anchor of the text, so that such rows are spread.
+    """
     for b in batches:
         out = []
         for i, t, text, met in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -195,32 +197,36 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, size, gram, _, again = _surroundings(data)
             kinds = {x["low"]: x["compare"] for x in met or []}
             copied = again | np.fromiter((kinds.get(a) is False for a in low.tolist()), bool, len(low))
-            texts = [
-                {"gram": g, "low": a, "said": data[a : a + n + WINDOW - 1]}
-                for a, n, g, r in zip(low.tolist(), size.tolist(), gram.tolist(), again.tolist(), strict=True)
-                if not r and kinds.get(a)
-            ]
-            if texts or copied.any():
-                out.append((i, t, runs_of(np.repeat(copied, size), 0), texts))
-        yield _batch(out, [b.column(0).type, pa.int64(), _RUNS_ARROW, _TEXTS_ARROW], ["id", "t", "runs", "texts"])
+            if copied.any():
+                out.append((int(gram[copied][0]), i, t, -1, None, runs_of(np.repeat(copied, size), 0)))
+            for a, n, g, r in zip(low.tolist(), size.tolist(), gram.tolist(), again.tolist(), strict=True):
+                if not r and kinds.get(a):
+                    out.append((g, i, t, a, data[a : a + n + WINDOW - 1], None))
+        yield _batch(out, [pa.int64(), b.column(0).type, pa.int64(), pa.int64(), pa.binary(), _RUNS_ARROW], ["gram", "id", "t", "low", "said", "runs"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of surroundings sorted by hash and place: the bytes of windows that are also at an earlier place.
 
     Equal windows have the same hash, so only what shares one is sorted together; small groups go into one suffix array.
+    Rows that have their runs already pass.
     """
     held: list[tuple] = []
     size, id_type = 0, None
 
     def done() -> pa.RecordBatch:
         found = repeated_windows([x[4] for x in held])
-        out = [(i, t, runs) for (_, i, t, low, _), again in zip(held, found, strict=True) if (runs := runs_of(again, low))]
-        return _batch(out, [id_type, pa.int64(), _RUNS_ARROW], ["id", "t", "runs"])
+        return given([(i, t, runs) for (_, i, t, low, *_), again in zip(held, found, strict=True) if (runs := runs_of(again, low))])
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return _batch(rows, [id_type, pa.int64(), _RUNS_ARROW], ["id", "t", "runs"])
 
     for b in batches:
         id_type = b.column(1).type
+        yield given([(i, t, runs) for i, t, runs in zip(*(b.column(k).to_pylist() for k in (1, 2, 5)), strict=True) if runs])
         for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if x[4] is None:
+                continue
             if held and x[:4] == held[-1][:4]:  # one more row of the same document
                 continue
             if size >= CHUNK and x[0] != held[-1][0]:
@@ -246,7 +252,7 @@ def merged(runs: list[dict[str, int]]) -> list[dict[str, int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for i, text, copy, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for i, _, text, copy, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             runs = merged([r for part in found or [] for r in part])
             if copy > 1 and len(data) >= WINDOW:
@@ -267,12 +273,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Windows are dealt out by a content-defined anchor. Anchors with the same surroundings are copies of the earliest;
     different surroundings of one anchor are put into a difference-cover suffix array by the task that has the anchor,
-    whose neighbours are compared byte by byte. Texts are shuffled twice, anchors (one for some 35 bytes) once.
+    whose neighbours are compared byte by byte. Texts and anchors (one for some 35 bytes) are shuffled once.
     """
     rows = whole(docs, id_col, text_col)
-    # a hash of the text tells documents with one id apart; where each has its own, none is shuffled
-    shared = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL")
-    rows = rows.select("id", (F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64("text")).alias("t"), "text")
+    # a hash of the text tells documents with one id apart; where each has its own, neither that nor a null-safe join is needed
+    unique = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL").isEmpty()
+    rows = rows.select("id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("t"), "text")
     id_field = rows.schema["id"]
     long = T.LongType()
     place = [id_field, T.StructField("t", long)]
@@ -282,15 +288,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = found.repartition("gram").sortWithinPartitions("gram", "said", *sort)
     met = met.mapInArrow(_met, T.StructType([*place, T.StructField("low", long), T.StructField("gram", long), T.StructField("compare", T.BooleanType())]))
     met = met.groupBy(F.col("id").alias("id_"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("low", "compare")).alias("met"))
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
+    same = F.col("id") == F.col("id_") if unique else F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
 
-    texts = T.ArrayType(T.StructType([T.StructField("gram", long), T.StructField("low", long), T.StructField("said", T.BinaryType())]))
+    # one plan from here on, in which both joins read the same shuffled texts
     looked = rows.join(met, same, "left").select("id", "t", "text", "met")
-    looked = kept(looked.mapInArrow(_looked_up, T.StructType([*place, T.StructField("runs", _RUNS), T.StructField("texts", texts)])))
-    parts = looked.select("id", "t", F.inline("texts")).select("gram", "id", "t", "low", "said").repartition("gram").sortWithinPartitions("gram", *sort)
-    runs = parts.mapInArrow(_compared, T.StructType([*place, T.StructField("runs", _RUNS)])).union(looked.select("id", "t", "runs"))
+    runs_field = T.StructField("runs", _RUNS)
+    looked = looked.mapInArrow(_looked_up, T.StructType([T.StructField("gram", long), *place, T.StructField("low", long), T.StructField("said", T.BinaryType()), runs_field]))
+    runs = looked.repartition("gram").sortWithinPartitions("gram", *sort).mapInArrow(_compared, T.StructType([*place, runs_field]))
     runs = runs.groupBy(F.col("id").alias("id_"), F.col("t").alias("t_")).agg(F.collect_list("runs").alias("found"))
 
-    numbered = rows.join(runs, same, "left").withColumn("copy", F.row_number().over(Window.partitionBy("id", "t").orderBy("t")))
-    cut = numbered.select("id", "text", "copy", "found").mapInArrow(_cut, T.StructType([id_field, T.StructField("n_bytes", long), T.StructField("spans", _RUNS), T.StructField("kept", T.BinaryType())]))
+    number = F.lit(1) if unique else F.row_number().over(Window.partitionBy("id", "t").orderBy("t"))
+    numbered = rows.join(runs, same, "left").withColumn("copy", number)
+    cut = numbered.select("id", "t", "text", "copy", "found").mapInArrow(_cut, T.StructType([id_field, T.StructField("n_bytes", long), T.StructField("spans", _RUNS), T.StructField("kept", T.BinaryType())]))
     return cut.withColumnRenamed("id", id_col)
