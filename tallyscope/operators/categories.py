@@ -21,23 +21,6 @@ TOP = 20
 SHORT_LIST = 900
 
 
-def folded(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Fold ``(v, n, ...)`` into ``(kind, key, total)``, within ``by``.
-
-    The first grouping has already brought each value to one row; here all
-    values seen once meet in one row, pre-summed on the map side.
-    """
-    lone = "n = 1 AND v IS NOT NULL"
-    totals = ["sum(n) AS total"]
-    if "f" in counts.columns:
-        totals.append("sum(f) AS filtered")
-    return counts.groupBy(
-        *by,
-        F.expr(f"CASE WHEN v IS NULL THEN 'null' WHEN {lone} THEN 'unique' ELSE 'value' END AS kind"),
-        F.expr(f"CASE WHEN {lone} THEN NULL ELSE v END AS key"),
-    ).agg(*[F.expr(t) for t in totals])
-
-
 def value_counts(
     base: DataFrame, column: str, selection: Selection = Selection()
 ) -> DataFrame:

@@ -171,7 +171,21 @@ def test_cube_equals_direct_queries(s, active, clause):
         else:
             found = {(r.kind, *((r.t1, r.t2) if c == "t" else (r.x1, r.x2)), r.total) for r in mine}
             assert found == {tuple(r) for r in direct.histogram(c).collect()}
-    cube.unpersist()
+    cube.close()
+
+
+def test_cube_of_a_near_unique_target_has_few_rows_and_a_brush_no_shuffle_of_cells(s):
+    cube = s.cube("x", ["u", "y", "q`t"])
+    assert cube._listed.where("pos = 0").count() == 1  # u: all its values are single
+    clause = Between("x", 10.0, 30.0, include_hi=False)
+    assert same(cube.value_counts("u", clause), s.where(clause).value_counts("u"))
+    plan = cube.histogram("y", clause)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    outside = text[: text.index("InMemoryRelation")] if "InMemoryRelation" in text else text
+    assert outside.count("Exchange") <= 2  # of the bins, at most as many rows as there are bins
+    cube.close()
+    assert not cube._listed.is_cached
 
 
 def test_cube_over_date_bins(s):
