@@ -73,15 +73,33 @@ def col(name: str) -> Column:
     return F.col(quote_name(name))
 
 
+def holds_timestamps(dtype: T.DataType) -> bool:
+    """Whether the text of such values depends on a time zone."""
+    if isinstance(dtype, T.ArrayType):
+        return holds_timestamps(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return holds_timestamps(dtype.keyType) or holds_timestamps(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return any(holds_timestamps(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.TimestampType, T.VariantType))
+
+
+def json_sql(value: str, dtype: T.DataType) -> str:
+    """JSON with instants in UTC, whatever the session's zone."""
+    return f"to_json({value}, map('timeZone', 'UTC'))" if holds_timestamps(dtype) else f"to_json({value})"
+
+
 def text_sql(name: str, dtype: T.DataType) -> str:
-    """The text a value is counted under, as SQL; NULL stays NULL."""
+    """The text a value is counted under, as SQL; NULL stays NULL. Instants are written in UTC."""
     quoted = quote_name(name)
     if isinstance(dtype, T.StringType):
         return quoted
     if isinstance(dtype, T.BinaryType):
         return f"hex({quoted})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return f"to_json({quoted})"
+        return json_sql(quoted, dtype)
+    if isinstance(dtype, T.TimestampType):
+        return f"CAST(timestampadd(MICROSECOND, unix_micros({quoted}), TIMESTAMP_NTZ'1970-01-01 00:00:00') AS STRING)"
     return f"CAST({quoted} AS STRING)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.columns import col
+from tallyscope.functions.columns import col, holds_timestamps
 
 # How much of a cell is shown.
 LIST_ITEMS = 5
@@ -139,6 +139,10 @@ def interval_text(c: Column, dtype: T.DataType) -> Column:
     return duration_text(micros, "us")
 
 
+def json_text(c: Column, dtype: T.DataType) -> Column:
+    return F.to_json(c, {"timeZone": "UTC"}) if holds_timestamps(dtype) else F.to_json(c)
+
+
 def list_text(c: Column, dtype: T.ArrayType) -> Column:
     """The first five items, then ``...``; a NULL item prints as nothing."""
     element = dtype.elementType
@@ -147,7 +151,9 @@ def list_text(c: Column, dtype: T.ArrayType) -> Column:
         if isinstance(element, (T.FloatType, T.DoubleType)):
             return plain_number_text(x)
         if isinstance(element, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            return F.to_json(x)
+            return json_text(x, element)
+        if isinstance(element, (T.TimestampType, T.TimestampNTZType)):
+            return timestamp_text(x, element)
         if isinstance(element, T.BinaryType):
             return binary_text(x)
         return x.cast("string")
@@ -168,7 +174,7 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.ArrayType):
         out = list_text(c, dtype)
     elif isinstance(dtype, (T.MapType, T.StructType, T.VariantType)):
-        out = F.to_json(c)
+        out = json_text(c, dtype)
     elif isinstance(dtype, (T.YearMonthIntervalType, T.DayTimeIntervalType)):
         out = interval_text(c, dtype)
     elif isinstance(dtype, T.DateType):

@@ -56,6 +56,8 @@ def literal(value: object, dtype: T.DataType | None = None) -> str:
 
     Date-times without a zone are read as UTC.
     """
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return _nested_literal(value, dtype)
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -81,3 +83,27 @@ def literal(value: object, dtype: T.DataType | None = None) -> str:
     if isinstance(value, (bytes, bytearray)):
         return f"X'{bytes(value).hex()}'"
     raise TypeError(f"no SQL literal for {type(value).__name__}")
+
+
+def _nested_literal(value: object, dtype: T.DataType) -> str:
+    """An array or struct with all its types, also where it is empty or holds NULL."""
+    if value is None:
+        return f"CAST(NULL AS {type_ddl(dtype)})"
+    if isinstance(dtype, T.ArrayType):
+        items = [_nested_literal(x, dtype.elementType) for x in value]
+        return f"array({', '.join(items)})" if items else f"CAST(array() AS {type_ddl(dtype)})"
+    if isinstance(dtype, T.StructType):
+        pairs = [f"{string_literal(f.name)}, {_nested_literal(x, f.dataType)}" for f, x in zip(dtype.fields, value, strict=True)]
+        return f"named_struct({', '.join(pairs)})"
+    return f"CAST({literal(value, dtype)} AS {type_ddl(dtype)})"
+
+
+def type_ddl(dtype: T.DataType) -> str:
+    """A type as it is written in a statement, field names quoted."""
+    if isinstance(dtype, T.ArrayType):
+        return f"ARRAY<{type_ddl(dtype.elementType)}>"
+    if isinstance(dtype, T.MapType):
+        return f"MAP<{type_ddl(dtype.keyType)}, {type_ddl(dtype.valueType)}>"
+    if isinstance(dtype, T.StructType):
+        return f"STRUCT<{', '.join(f'{quote_name(f.name)}: {type_ddl(f.dataType)}' for f in dtype.fields)}>"
+    return dtype.simpleString().upper()

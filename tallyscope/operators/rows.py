@@ -36,6 +36,8 @@ def _key_sql(f: T.StructField) -> str:
     name = quote_name(f.name)
     if orderable(f.dataType):
         return name
+    if isinstance(f.dataType, T.MapType) and orderable(f.dataType.keyType) and orderable(f.dataType.valueType):
+        return f"array_sort(map_entries({name}))"
     return f"CAST({name} AS STRING)" if isinstance(f.dataType, T.NullType) else f"to_json({name})"
 
 
@@ -99,7 +101,7 @@ def _equal_sql(key: SortKey, value: str | None) -> str:
     """Equality as in the order; NaN by name, as statistics of cached batches leave it out."""
     if value is None:
         return f"{key.sql} IS NULL"
-    return f"isnan({key.sql})" if "NaN" in value and not value.startswith("'") else f"{key.sql} = {value}"
+    return f"isnan({key.sql})" if value == "double('NaN')" else f"{key.sql} = {value}"
 
 
 def after_sql(keys: list[SortKey], last: list[str | None]) -> str:
@@ -119,18 +121,39 @@ def after_sql(keys: list[SortKey], last: list[str | None]) -> str:
 
 
 def _key_literals(df: DataFrame, keys: list[SortKey], last: Row) -> list[str | None]:
+    """A literal per key. Columns without an order are compared by their sorted entries or their
+    JSON, which Spark itself makes for the one row."""
+    plain = {k.column: field(df.schema, k.column) for k in keys}
+    texts = {c: f for c, f in plain.items() if not orderable(f.dataType)}
+    said: dict[str, tuple] = {}
+    if texts:
+        row = df.sparkSession.createDataFrame([[last[c] for c in texts]], T.StructType(list(texts.values())))
+        made = row.selectExpr(*[_key_sql(f) for f in texts.values()])
+        said = {c: (v, f.dataType) for c, v, f in zip(texts, made.head(), made.schema.fields, strict=True)}
     values = []
     for key in keys:
-        dtype = field(df.schema, key.column).dataType
+        dtype = plain[key.column].dataType
         value = last[key.column]
-        if not isinstance(dtype, T.AtomicType):
-            raise ValueError(f"cannot seek by {key.column!r} of type {dtype.simpleString()}")
-        if isinstance(dtype, T.TimestampType) and value is not None and value.tzinfo is None:
-            value = value.astimezone(dt.timezone.utc)  # collected in the zone of the driver
+        if key.column in texts:
+            value, dtype = said[key.column]
+        value = _in_utc(value, dtype)
         values.append(None if value is None else literal(value, dtype))
     return values
 
 
+def _in_utc(value: object, dtype: T.DataType) -> object:
+    """Timestamps come to the driver in its own zone, also inside other values."""
+    if value is None:
+        return None
+    if isinstance(dtype, T.TimestampType) and value.tzinfo is None:
+        return value.astimezone(dt.timezone.utc)
+    if isinstance(dtype, T.ArrayType):
+        return [_in_utc(x, dtype.elementType) for x in value]
+    if isinstance(dtype, T.StructType):
+        return [_in_utc(x, f.dataType) for x, f in zip(value, dtype.fields, strict=True)]
+    return value
+
+
 def rows_after(
     df: DataFrame, keys: list[SortKey], last: Row, size: int = PAGE, shown: int = 1
 ) -> DataFrame:
@@ -163,13 +186,7 @@ class Page:
 
 
 def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page]:
-    """All pages in order, each by a seek; the driver holds one page and the next.
-
-    Tables with columns that cannot be seeked by come from one distributed sort.
-    """
-    if not all(isinstance(field(df.schema, k.column).dataType, T.AtomicType) for k in keys):
-        yield from _pages_of_sort(df, keys, size)
-        return
+    """All pages in order, each by a seek; the driver holds one page and the next."""
     held, first, shown = page(df, keys, 0, size).collect(), 0, 0
     while True:
         if held:
@@ -188,18 +205,6 @@ def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page
             shown = 0
 
 
-def _pages_of_sort(df: DataFrame, keys: list[SortKey], size: int) -> Iterator[Page]:
-    held: list[Row] = []
-    first = 0
-    for row in ordered(df, keys).toLocalIterator(prefetchPartitions=True):
-        if len(held) == size:
-            yield Page(first, held, False)
-            first += size
-            held = []
-        held.append(row)
-    yield Page(first, held, True)
-
-
 # Of so many buckets of the keys' hashes each gives one key, and one hash in
 # ``THINNED`` is looked at: at most ``RANGES`` bounds, whatever the table.
 RANGES = 8192

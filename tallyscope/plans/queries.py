@@ -16,7 +16,7 @@ from tallyscope.plans.registry import query, session
 from tallyscope.plans.session import Session
 from tallyscope.sources import sinks
 from tallyscope.sources.scratch import scratch_path
-from tallyscope.sources.tables import read_query, register
+from tallyscope.sources.tables import column_names, read_query, register
 
 DAY = dt.datetime
 
@@ -961,3 +961,143 @@ def json_lines(spark, folder):
     s = session(spark, folder, "part", "p_partkey", "p_name", "nullif(p_size, 7) AS size")
     parsed = F.from_json("record", s.base.schema)
     return sinks.json_lines(s.base).select(parsed.alias("r")).select("r.*")
+
+
+@query("csv_no_header", "select n_nationkey as _c0, n_name as _c1, n_regionkey as _c2 from nation")
+def csv_no_header(spark, folder):
+    path = scratch_path(spark, "nation") + ".txt"
+    spark.read.parquet(f"{folder}/nation.parquet").write.csv(path, header=False, sep="|")
+    return Session.of_file(spark, path, "csv", keep=False, header=False, sep="|").data()
+
+
+@query("kept_text", "select * replace (cast(s_suppkey as int) as s_suppkey) from supplier where s_acctbal > 0")
+def kept_text(spark, folder):
+    """A text table parsed once and kept on the executors."""
+    path = scratch_path(spark, "supplier") + ".csv"
+    sinks.write(spark.read.parquet(f"{folder}/supplier.parquet"), path, "csv")
+    s = Session.of_file(spark, path)
+    return s.where_range("s_acctbal", 1e-9, 1e9).data()
+
+
+def _mixed_json(spark: SparkSession, folder: str) -> Session:
+    """A folder with files of JSON lines and one whose records are in an array."""
+    path = scratch_path(spark, "nation") + ".json"
+    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    array = nation.where("n_regionkey < 2").selectExpr("to_json(collect_list(struct(*))) AS value")
+    array.write.text(path)
+    nation.where("n_regionkey >= 2").write.mode("append").json(path)
+    return Session.of_file(spark, path, keep=False).where_range("n_nationkey", 3, 20)
+
+
+@query("json_mixed_folder", "select * replace (cast(n_nationkey as bigint) as n_nationkey, cast(n_regionkey as bigint) as n_regionkey) from nation where n_nationkey between 3 and 20")
+def json_mixed_folder(spark, folder):
+    return _mixed_json(spark, folder).data()
+
+
+def _run_all(spark: SparkSession, text: str) -> DataFrame:
+    """The result of the last of several statements."""
+    *views, last = text.split(";\n")
+    for view in views:
+        spark.sql(view)
+    return spark.sql(last)
+
+
+@query("sql_export_mixed", "select * replace (cast(n_nationkey as bigint) as n_nationkey, cast(n_regionkey as bigint) as n_regionkey) from nation where n_nationkey between 3 and 20")
+def sql_export_mixed(spark, folder):
+    return _run_all(spark, _mixed_json(spark, folder).export_sql())
+
+
+@query("sql_export_schema", "select cast(n_nationkey as varchar) as a, n_name as b, n_regionkey::double as c from nation where n_name <> 'x'")
+def sql_export_schema(spark, folder):
+    path = scratch_path(spark, "nation") + ".csv"
+    spark.read.parquet(f"{folder}/nation.parquet").write.csv(path, header=False)
+    s = Session.of_file(spark, path, schema="a STRING, b STRING, c DOUBLE", keep=False, header=False)
+    return _run_all(spark, s.export_sql())
+
+
+@query("sql_two_sessions", "select r_name as name from region union all select n_name from nation where n_regionkey = 1")
+def sql_two_sessions(spark, folder):
+    """Each session's SQL gives its own rows, also where neither was named."""
+    regions = Session.of(spark, spark.read.parquet(f"{folder}/region.parquet"))
+    nations = Session.of(spark, spark.read.parquet(f"{folder}/nation.parquet")).where_value("n_regionkey", "1")
+    return spark.sql(regions.sql()).selectExpr("r_name AS name").union(spark.sql(nations.sql()).select("n_name"))
+
+
+@query("arrow_folder", "select * from orders")
+def arrow_folder(spark, folder):
+    """Arrow files written by the executors, decoded by record batch."""
+    path = scratch_path(spark, "orders-arrow")
+    sinks.write(spark.read.parquet(f"{folder}/orders.parquet").repartition(3), path, "arrow")
+    return Session.of_file(spark, f"{path}/data", fmt="arrow").data()
+
+
+@query("arrow_result", "select l_orderkey, l_shipdate, l_extendedprice, l_comment_ from (select *, l_returnflag || '-' || l_linestatus l_comment_ from lineitem) where l_returnflag = 'A'")
+def arrow_result(spark, folder):
+    s = session(spark, folder, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice", "l_returnflag", "concat(l_returnflag, '-', l_linestatus) AS l_comment_")
+    path = scratch_path(spark, "lineitem-arrow")
+    sinks.write(s.where_value("l_returnflag", "A").data(), path, "arrow")
+    return sinks.read_arrow_result(spark, path).drop("l_returnflag")
+
+
+@query("url_parquet", checks.value_counts("part", "p_brand", "p_size between 1 and 20"))
+def url_parquet(spark, folder):
+    url = folder if "://" in folder else f"file://{folder}"
+    s = Session.of_file(spark, f"{url}/part.parquet").where_range("p_size", 1, 20)
+    return s.value_counts("p_brand")
+
+
+@query("saved_table", checks.value_counts("customer", "c_mktsegment", "c_nationkey between 3 and 9"))
+def saved_table(spark, folder):
+    """A result saved in the catalog, and profiled from there."""
+    sinks.save_table(session(spark, folder, "customer").data(), "tallyscope_saved_customers")
+    s = Session.of_table(spark, "tallyscope_saved_customers").where_range("c_nationkey", 3, 9)
+    return s.value_counts("c_mktsegment")
+
+
+@query("column_names_part", "select column_name as name from (describe select * from part)")
+def column_names_part(spark, folder):
+    register(spark.read.parquet(f"{folder}/part.parquet"), "part_by_name")
+    return spark.createDataFrame([(c,) for c in column_names(spark, "part_by_name")], "name string")
+
+
+@query(
+    "page_ends",
+    "select cast(floor(i / 400) * 400 as bigint) as first_row, count(*) as n_rows, max(i) = max(m) as last_page, min(c_custkey) as low "
+    "from (select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) - 1 as i, count(*) over () - 1 as m from customer) group by 1",
+)
+def page_ends(spark, folder):
+    """Where each page of the whole view begins, and which is the last."""
+    s = session(spark, folder, "customer").sort("c_acctbal", "desc")
+    ends = [(p.first, len(p.rows), p.last, min(r["c_custkey"] for r in p.rows)) for p in s.pages(400)]
+    return spark.createDataFrame(ends, "first_row bigint, n_rows bigint, last_page boolean, low bigint")
+
+
+@query(
+    "rows_after_seek_nested",
+    "select o_orderkey, o_orderstatus, 'k' || o_custkey % 3 as k from orders order by o_custkey % 5 desc, o_custkey % 2 desc, "
+    "o_orderpriority, o_orderkey, '{\"k\":' || o_custkey % 3 || '}' limit 100 offset 300",
+)
+def rows_after_seek_nested(spark, folder):
+    """The page after a row, in the order of an array, a struct and a map."""
+    s = session(
+        spark, folder, "orders", "array(o_custkey % 5, o_custkey % 2) AS a", "named_struct('p', o_orderpriority, 'k', o_orderkey) AS st",
+        "map('k', o_custkey % 3) AS m", "o_orderkey", "o_orderstatus",
+    ).sort("a", "desc").sort("st", "asc")
+    last = s.page(2).tail(1)[0]
+    return s.page_after(last).selectExpr("o_orderkey", "o_orderstatus", "concat('k', m['k']) AS k")
+
+
+@query(
+    "fmt_list_timestamp",
+    "select format('{:,}', event_id) as event_id, "
+    "'[' || replace(regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', ''), ' ', 'T') || ', ' || event_type || ']' as l, "
+    "'{\"t\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || strftime(ts, '%f')[1:3] || 'Z\"}' as s from events "
+    "where strftime(ts, '%S%f') not like '%0'",
+)
+def fmt_list_timestamp(spark, folder):
+    """Instants inside lists and structs, shown in UTC."""
+    at = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"
+    s = session(spark, folder, "events", "event_id", f"array({at}) AS l", "event_type", f"named_struct('t', {at}) AS s", "ts")
+    rows = s.base.where("date_format(ts, 'ssSSSSSS') NOT LIKE '%0'")
+    shown = preview(rows.select("event_id", "l", "event_type", "s"))
+    return shown.selectExpr("event_id", "concat(rtrim(']', l), ', ', event_type, ']') AS l", "s")

@@ -21,8 +21,8 @@ from tallyscope.operators.cube import Cube
 from tallyscope.operators.extent import Extent, extents, histogram_columns
 from tallyscope.operators.profile import profile
 from tallyscope.operators.selection import Between, Clause, IsNull, OccursOnce, Selection, ValueIs
-from tallyscope.sources.files import FileSource, open_file
-from tallyscope.sources.tables import from_data, read_query, read_table, register
+from tallyscope.sources.files import TEXT_FORMATS, FileSource, open_file
+from tallyscope.sources.tables import free_name, from_data, read_query, read_table, register
 
 
 @dataclass(frozen=True)
@@ -34,15 +34,20 @@ class Session:
     sorts: dict[str, str] = dataclass_field(default_factory=dict)
     _extents: dict[str, Extent] = dataclass_field(default_factory=dict, compare=False, repr=False)
     _baseline: Baseline = dataclass_field(default_factory=Baseline, compare=False, repr=False)
+    _kept: DataFrame | None = dataclass_field(default=None, compare=False, repr=False)
 
     # -- opening -----------------------------------------------------------
 
     @classmethod
     def of(
-        cls, spark: SparkSession, data: object, table: str = "df", columns: list[str] | None = None
+        cls, spark: SparkSession, data: object, table: str | None = None, columns: list[str] | None = None
     ) -> Session:
-        """Profile a Spark DataFrame or in-memory data, registered as ``table``."""
-        df = _subset(from_data(spark, data), columns)
+        """Profile a Spark DataFrame or in-memory data, registered as ``table``.
+
+        Without a name it becomes ``df``, or the first of ``df_2``, ``df_3`` ...
+        that is free, so that the SQL of each session stays its own.
+        """
+        df, table = _subset(from_data(spark, data), columns), table or free_name(spark)
         return cls(register(df, table), table)
 
     @classmethod
@@ -51,15 +56,19 @@ class Session:
         spark: SparkSession,
         path: str,
         fmt: str | None = None,
-        table: str = "df",
+        table: str | None = None,
         columns: list[str] | None = None,
         schema=None,
         keep: bool = True,
         multiline: bool | None = None,
+        header: bool = True,
+        sep: str | None = None,
     ) -> Session:
         """Profile a file, folder or URL that Spark can read."""
-        df, source = open_file(spark, path, fmt, schema, keep, multiline)
-        return cls(register(_subset(df, columns), table), table, source)
+        df, source = open_file(spark, path, fmt, schema, keep, multiline, header, sep)
+        table = table or free_name(spark)
+        kept = df if keep and source.fmt in TEXT_FORMATS else None
+        return cls(register(_subset(df, columns), table), table, source, _kept=kept)
 
     @classmethod
     def of_table(
@@ -69,7 +78,8 @@ class Session:
         return cls(_subset(read_table(spark, name), columns), name)
 
     @classmethod
-    def of_query(cls, spark: SparkSession, text: str, table: str = "df") -> Session:
+    def of_query(cls, spark: SparkSession, text: str, table: str | None = None) -> Session:
+        table = table or free_name(spark)
         return cls(register(read_query(spark, text), table), table)
 
     # -- state -------------------------------------------------------------
@@ -132,13 +142,12 @@ class Session:
         inline = self.source.from_sql()
         if inline:
             return self._sql(inline)
-        view = self.source.view_sql(name)
+        view = self.source.view_sql(name, self.base.schema)
         return f"{view};\n{self.sql()}" if view else self.sql()
 
     def page(self, number: int = 0, size: int = rows.PAGE) -> DataFrame:
-        """Rows of one page. Without a sort the table's own order is kept."""
-        seen = self.selection.apply(self.base)
-        return rows.page(seen, self._total() if self.sorts else [], number, size)
+        """Rows of one page of the total order: the sort, then all other columns."""
+        return rows.page(self.selection.apply(self.base), self._total(), number, size)
 
     def numbered_page(self, number: int = 0, size: int = rows.PAGE) -> DataFrame:
         return rows.numbered_page(self.selection.apply(self.base), self._total(), number, size)
@@ -156,8 +165,10 @@ class Session:
         return rows.number_rows(self.selection.apply(self.base), self._total(), name)
 
     def preview(self, number: int = 0, size: int = rows.PAGE) -> DataFrame:
-        """One page as display text."""
-        return preview(self.page(number, size))
+        """One page as display text. The first one of an unsorted view is any rows, found without a full scan."""
+        if self.sorts or number:
+            return preview(self.page(number, size))
+        return preview(rows.page(self.selection.apply(self.base), [], 0, size))
 
     # -- summaries ---------------------------------------------------------
 
@@ -203,8 +214,10 @@ class Session:
         return profile(self.base, chosen, bins, self.selection, top, self._baseline)
 
     def close(self) -> None:
-        """Release the remembered baseline of this session and all that share it."""
+        """Release the remembered baseline and the kept text of this session and all that share them."""
         self._baseline.close()
+        if self._kept is not None:
+            self._kept.unpersist()
 
     def cube(self, active: str, targets: list[str] | None = None) -> Cube:
         """Counts by ``active`` for quick refreshes while its filter moves."""

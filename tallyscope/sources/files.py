@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.sqltext import quote_name, string_literal
+from tallyscope.functions.sqltext import quote_name, string_literal, type_ddl
 from tallyscope.sources.arrow import plain_batch, spark_schema
+from tallyscope.sources.arrow_files import ARROW_MAGIC, opened_by_path, read_arrow_paths
 
 # File extensions and the formats they stand for.
 EXTENSIONS = {
@@ -27,9 +29,6 @@ EXTENSIONS = {
 FORMATS = ("parquet", "csv", "tsv", "json", "arrow")
 TEXT_FORMATS = ("csv", "tsv", "json")
 
-ARROW_MAGIC = b"ARROW1"
-
-
 def resolve_format(path: str, fmt: str | None = None) -> str:
     """The explicit format if there is one, else by extension; never a guess."""
     if fmt is not None:
@@ -56,6 +55,8 @@ class FileSource:
     #: JSON files of a folder that hold an array, beside others that hold lines.
     arrays: tuple[str, ...] = ()
     lines: tuple[str, ...] = ()
+    #: The schema the file was opened with, as DDL, if one was given.
+    schema: str | None = None
 
     def options(self) -> dict[str, str]:
         """A bad record raises; so does a CSV file whose header names other columns, or these in another order."""
@@ -64,6 +65,8 @@ class FileSource:
             out["mode"] = "FAILFAST"
         if self.fmt in ("csv", "tsv"):
             out |= {"header": str(self.header).lower(), "inferSchema": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
+            if self.schema:
+                out["inferSchema"] = "false"
         if self.sep or self.fmt == "tsv":
             out["sep"] = self.sep or "\t"
         return out
@@ -75,13 +78,37 @@ class FileSource:
         """What to write after FROM, when the file can be named in place."""
         return f"parquet.{quote_name(self.path)}" if self.fmt == "parquet" else None
 
-    def view_sql(self, table_sql: str) -> str | None:
-        """A statement that makes the file readable under a name."""
-        if self.fmt not in TEXT_FORMATS or self.arrays:
+    def view_sql(self, table_sql: str, found: T.StructType) -> str | None:
+        """Statements that make the file readable under a name, with the columns ``found``."""
+        if self.fmt not in TEXT_FORMATS:
             return None
-        options = {"path": self.path, **self.options()}
-        listed = ", ".join(f"{k} {string_literal(v)}" for k, v in options.items())
-        return f"CREATE OR REPLACE TEMPORARY VIEW {table_sql} USING {self.spark_format()} OPTIONS ({listed})"
+        if not self.arrays:
+            return self._one_view(table_sql, self.path, self.options(), self.schema)
+        # Files of both kinds: a view of each, with all columns, and one over them.
+        columns, name = schema_ddl(found), table_sql.replace("`", "")
+        kinds = (("arrays", self.arrays, {"multiLine": "true"}), ("lines", self.lines, {}))
+        views = [
+            self._one_view(quote_name(f"{name}_{kind}"), _glob(files), {**more, "mode": "FAILFAST"}, columns)
+            for kind, files, more in kinds
+        ]
+        both = " UNION ALL ".join(f"SELECT * FROM {quote_name(f'{name}_{kind}')}" for kind, *_ in kinds)
+        return ";\n".join([*views, f"CREATE OR REPLACE TEMPORARY VIEW {table_sql} AS {both}"])
+
+    def _one_view(self, name: str, path: str, options: dict[str, str], columns: str | None) -> str:
+        listed = ", ".join(f"{k} {string_literal(v)}" for k, v in {"path": path, **options}.items())
+        typed = f" ({columns})" if columns else ""
+        return f"CREATE OR REPLACE TEMPORARY VIEW {name}{typed} USING {self.spark_format()} OPTIONS ({listed})"
+
+
+def schema_ddl(schema: T.StructType) -> str:
+    """Columns and types as they are written in a statement."""
+    return ", ".join(f"{quote_name(f.name)} {type_ddl(f.dataType)}" for f in schema.fields)
+
+
+def _glob(files: tuple[str, ...]) -> str:
+    """One path for several files, with the characters escaped that mean something in a glob."""
+    escaped = [re.sub(r"([{}\[\]*?,\\])", r"\\\1", f) for f in files]
+    return escaped[0] if len(escaped) == 1 else "{" + ",".join(escaped) + "}"
 
 
 def file_source(
@@ -135,6 +162,9 @@ def open_file(
 ) -> tuple[DataFrame, FileSource]:
     """Parquet and Arrow stay lazy; text is parsed once and kept, unless ``keep`` is false."""
     source = file_source(spark, path, fmt, multiline, header, sep)
+    if schema is not None:
+        text = schema if isinstance(schema, str) else schema_ddl(schema)
+        source = replace(source, schema=text)
     df = read_file(spark, source, schema)
     if keep and source.fmt in TEXT_FORMATS:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -155,11 +185,17 @@ def _json_kinds(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[
 
 
 def read_arrow_files(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, one task per group of files.
+    """Arrow IPC files, decoded by record batch.
 
-    All files share the schema of the first one by path; a file with another
-    schema fails the job.
+    Where Arrow cannot open a path (a store that only Hadoop knows), each file
+    is read whole instead, up to Spark's limit of 2 GB for a value.
     """
+    if opened_by_path(path):
+        return read_arrow_paths(spark.read.format("binaryFile").load(path).select("path"))
+    return _read_whole_files(spark, path)
+
+
+def _read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     first = files.select("path").agg(F.min("path").alias("path")).head()["path"]
     if first is None:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyscope.sources.arrow_files import read_arrow_result, write_arrow  # noqa: F401
+
 
 def to_arrow(df: DataFrame) -> pa.Table:
     """A bounded result (a page, a histogram) as an Arrow table on the driver."""
@@ -41,6 +43,8 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
         writer.parquet(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", "false").json(path)
+    elif fmt == "arrow":
+        write_arrow(df, path)
     elif fmt in ("csv", "tsv"):
         sep = "\t" if fmt == "tsv" else ","
         writer.csv(path, header=True, sep=sep, quote='"', escape='"')

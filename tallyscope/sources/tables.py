@@ -64,5 +64,14 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def free_name(spark: SparkSession, stem: str = "df") -> str:
+    """``stem``, or with the first number that no view has yet."""
+    name, n = stem, 1
+    while spark.catalog.tableExists(name):
+        n += 1
+        name = f"{stem}_{n}"
+    return name
+
+
 def column_names(spark: SparkSession, table: str) -> list[str]:
     return read_table(spark, table).columns

@@ -158,5 +158,20 @@ def test_maps_and_arrays_in_the_order(spark):
     s = Session.of(spark, df, "nested_order").sort("k", "asc")
     assert s.numbered().count() == 10
     assert len(s.page(0, 4).collect()) == 4
-    with pytest.raises(ValueError):
-        s.page_after(s.page(0, 1).head())
+    whole = [str(r) for r in s.page(0, 10).collect()]
+    assert [str(r) for r in s.page_after(s.page(0, 4).tail(1)[0], 6).collect()] == whole[4:]
+
+
+@pytest.mark.parametrize("sorts", [{}, {"a": "desc"}, {"s": "asc", "m": "desc"}])
+def test_seeks_by_arrays_structs_and_maps(spark, sorts):
+    df = spark.sql(
+        "SELECT CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN CAST(array() AS ARRAY<DOUBLE>) ELSE array(id % 4, IF(id % 3 = 0, NULL, double('NaN'))) END AS a, "
+        "named_struct('odd `name', concat('it''s ', id % 3), 't', timestamp_micros(id % 2), 'in', array(named_struct('x', IF(id % 2 = 0, NULL, id)))) AS s, "
+        "map('k', id % 3, 'z', NULL) AS m, X'00FF' AS b FROM range(60)"
+    )
+    state = Session.of(spark, df, "seek_nested")
+    for c, d in sorts.items():
+        state = state.sort(c, d)
+    whole = [str(r) for r in state.page(0, 60).collect()]
+    assert len(whole) == 60
+    assert [str(r) for p in state.pages(9) for r in p.rows] == whole
