@@ -66,8 +66,9 @@ def _surroundings(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Anchors, a hash of all bytes that their windows cover, and whether the same was met before in `data`."""
     low, size, gram = anchors(data)
     text = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + n + WINDOW - 1]) for a, n in zip(low.tolist(), size.tolist(), strict=True)), np.uint64, len(low)).view(np.int64)
-    again = np.ones(len(low), bool)
-    again[np.unique(np.stack([gram, text]), axis=1, return_index=True)[1] if len(low) else []] = False
+    order = np.lexsort((text, gram))  # keeps the order of what is equal
+    again = np.zeros(len(low), bool)
+    again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
     return low, size, gram, text, again
 
 
