@@ -15,11 +15,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import kept, whole
+from tallyscope.llm.common import fresh, kept, whole
 
 #: Words of a passage and from one to the next: a run of 17 words always lies whole in one.
 PASSAGE, STRIDE = 32, 16
@@ -251,10 +251,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts hold nothing; without items there are no pairs; items without words are held by nothing. Other
     columns are ignored. Items are searched for in blocks of `ITEMS`, each a pass over the documents.
     """
+    found = _leaks_of_rows(docs, benchmark, id_col, text_col, item_col)
+    found = found.groupBy(F.col("id.id").alias(id_col), "item_id")
+    return found.agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"))
+
+
+def _row_key(id_: Column, text: Column) -> Column:
+    """What tells one document's row from another's, also where ids are null or shared: the id and a hash of the text."""
+    return F.struct(id_.alias("id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("t"))
+
+
+def _id_field(rows: DataFrame) -> T.StructField:
+    """Rows that count words belong to no document."""
+    return T.StructField("id", rows.schema["id"].dataType, True)
+
+
+def _leaks_of_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """As :func:`leaks`, with the `_row_key` of the document as `id`."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).dropna().orderBy("item", "text")
-    rows = whole(docs, id_col, text_col)
-    schema = T.StructType([rows.schema["id"], *_HIT])
+    rows = whole(docs, id_col, text_col).select(_row_key(F.col("id"), F.col("text")).alias("id"), "text")
+    schema = T.StructType([_id_field(rows), *_HIT])
     out, block, any_left = spark.createDataFrame([], schema), [], items.toLocalIterator()
     for item in any_left:
         block.append((item["item"], item["text"]))
@@ -262,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             out, block = out.unionByName(_block_leaks(spark, rows, block, schema)), []
     if block:
         out = out.unionByName(_block_leaks(spark, rows, block, schema))
-    return out.withColumnRenamed("id", id_col)
+    return out
 
 
 _HIT = [T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType())]
@@ -272,7 +289,7 @@ def _block_leaks(spark: SparkSession, rows: DataFrame, items: list[tuple[int, st
     bench = Benchmark(items)
     if not bench.size:
         return spark.createDataFrame([], schema)
-    found = kept(rows.mapInArrow(_passages(bench), T.StructType([rows.schema["id"], *_PASSAGE])))
+    found = kept(rows.mapInArrow(_passages(bench), T.StructType([_id_field(rows), *_PASSAGE])))
     seen = np.zeros(bench.size + 1)
     counted = found.filter("at < 0").select(F.posexplode("words").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen[counted.column(0).to_numpy()] = counted.column(1).to_numpy()  # as many rows as the benchmark has words
@@ -284,7 +301,7 @@ def _block_leaks(spark: SparkSession, rows: DataFrame, items: list[tuple[int, st
     space = _latent(passages.select("words"), idf, np.array(bench.ids), item_rows)
     answers = [set(t[np.argsort(-idf[t], kind="stable")][:ANSWER_TERMS].tolist()) for t in bench.terms_of]
     sizes = {j: max(1, len(a)) for j, a in enumerate(answers)}
-    hits = passages.select("id", "words").mapInArrow(_matches(bench, idf, space, item_rows, answers), T.StructType([rows.schema["id"], *_CANDIDATE]))
+    hits = passages.select("id", "words").mapInArrow(_matches(bench, idf, space, item_rows, answers), T.StructType([_id_field(rows), *_CANDIDATE]))
     best = hits.groupBy("id", "item_id", "item").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
     need = spark.createDataFrame([(j, n) for j, n in sizes.items()], "item int, answers int")
     best = best.join(need, "item").filter((F.col("share") >= COVERED) | (F.size("found") >= ANSWERED * F.col("answers")))
@@ -299,14 +316,23 @@ _CANDIDATE = [
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row per document: id, `contaminated`, and `item_ids`, the items it holds in order. Rows that share an id share these."""
-    held = leaks(docs, benchmark, id_col, text_col, item_col).groupBy(id_col).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    held = kept(held.withColumnRenamed(id_col, "held_id"))
-    out = docs.select(docs[id_col]).join(held, docs[id_col] == F.col("held_id"), "left")
-    return out.select(id_col, F.col("held_id").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    """One row per document: id, `contaminated`, and `item_ids`, the items it holds in order.
+
+    A row is judged by its own text, also where its id is null or shared; repeated rows are told each.
+    """
+    held = _leaks_of_rows(docs, benchmark, id_col, text_col, item_col).groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    held = kept(held.select(F.col("id").alias("held"), "item_ids"))
+    rows = docs.select(docs[id_col].alias("id"), _row_key(docs[id_col], docs[text_col]).alias("key"))
+    out = rows.join(held, F.col("key") == F.col("held"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("held").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents that hold no item, with all columns as they are."""
-    held = kept(leaks(docs, benchmark, id_col, text_col, item_col).select(F.col(id_col).alias("held__id")).distinct())
-    return docs.join(held, docs[id_col] == F.col("held__id"), "left_anti")
+    """The documents that hold no item, with all columns as they are.
+
+    A row is judged by its own text, also where its id is null or shared: null and empty texts stay, repeated rows stay or
+    go together, an empty table stays one.
+    """
+    (name,) = fresh(docs, "held")
+    held = kept(_leaks_of_rows(docs, benchmark, id_col, text_col, item_col).select(F.col("id").alias(name)).distinct())
+    return docs.join(held, _row_key(docs[id_col], docs[text_col]) == F.col(name), "left_anti")

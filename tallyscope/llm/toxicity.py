@@ -162,7 +162,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     known = known.withColumn("y", F.when(F.col("y") > 0, 1).otherwise(0))
     first = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     known = first(1, max_toxic).unionByName(first(0, max_clean))
-    rows = whole(docs, id_col, text_col).join(known, "id")
+    # at most max_toxic + max_clean rows of an id and a number; texts are not shuffled to find them
+    rows = whole(docs, id_col, text_col).join(F.broadcast(known), "id")
     out = scored(docs, fitted(rows), id_col, text_col)
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False))
     return out.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
