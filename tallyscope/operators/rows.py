@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from itertools import takewhile
+from itertools import groupby, takewhile
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -64,14 +64,14 @@ def ordered(df: DataFrame, keys: list[SortKey]) -> DataFrame:
     """
     if not keys:
         return df
-    stamp = _fresh_stamp(df)
+    stamp = _fresh(df, "_stamp")
     spread = df.withColumn(stamp, F.monotonically_increasing_id())
     return spread.orderBy(*[k.order() for k in keys], F.col(stamp)).drop(stamp)
 
 
-def _fresh_stamp(df: DataFrame) -> str:
-    name = "_stamp"
-    while name in df.columns:
+def _fresh(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
         name = "_" + name
     return name
 
@@ -222,54 +222,64 @@ def number_rows(df: DataFrame, keys: list[SortKey], name: str = "row") -> DataFr
     return _numbered(df, keys, name)
 
 
-def _before(keys: list[SortKey], a: str, b: str) -> str:
-    """Whether key struct ``a`` sorts strictly before ``b``, NULLs last."""
-    cases = []
-    for i, key in enumerate(keys):
-        x, y = f"{a}.k{i}", f"{b}.k{i}"
-        sign = ">" if key.descending else "<"
-        cases.append(f"WHEN NOT ({x} <=> {y}) THEN {x} IS NOT NULL AND ({y} IS NULL OR {x} {sign} {y})")
-    return f"CASE {' '.join(cases)} ELSE false END"
+def _packed(keys: list[SortKey]) -> list[tuple[str, bool]]:
+    """Runs of keys with one direction, each as a struct whose natural order is that of its
+    keys, or their reverse. Structs put NULL first, which is last in reverse; else a flag
+    before each key does that."""
+    runs = [(down, list(run)) for down, run in groupby(keys, lambda k: k.descending)]
+    return [(f"struct({', '.join(k.sql if down else f'{k.sql} IS NULL, {k.sql}' for k in run)})", down) for down, run in runs]
+
+
+def _before(a: list[Column], b: list[Column], down: list[bool]) -> Column:
+    """Whether the packed keys ``a`` sort strictly before ``b``; NULL if there is no ``a``."""
+    *others, last = zip(a, b, down, strict=True)
+
+    def sooner(x: Column, y: Column, reverse: bool) -> Column:
+        return x > y if reverse else x < y
+
+    out = sooner(*last)
+    for x, y, reverse in reversed(others):
+        out = F.when(sooner(x, y, reverse), True).when(sooner(y, x, reverse), False).otherwise(out)
+    return out
 
 
 def _numbered(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
-    spark = df.sparkSession
-    names = [f"k{i}" for i in range(len(keys))]
-    listed = ", ".join(names)
-    order = ", ".join(f"{n} {'DESC' if k.descending else 'ASC'} NULLS LAST" for n, k in zip(names, keys, strict=True))
-    columns = ", ".join(quote_name(c) for c in df.columns)
+    packed, down = zip(*_packed(keys), strict=True)
+    parts = [_fresh(df, f"_key{i}") for i in range(len(packed))]
+    range_, of, place, size, start = (_fresh(df, n) for n in ("_range", "_of", "_place", "_size", "_start"))
+    columns = [F.col(quote_name(c)) for c in df.columns]
+    keyed = df.selectExpr("*", *[f"{sql} AS {p}" for sql, p in zip(packed, parts, strict=True)])
+    only = keyed.select(*parts)
+
+    def fields(c: Column) -> list[Column]:
+        return [c.getField(p) for p in parts]
+
+    def order(x: Column, y: Column) -> Column:
+        return F.when(_before(fields(x), fields(y), down), -1).when(_before(fields(y), fields(x), down), 1).otherwise(0)
+
+    thinned = only.select(F.struct(*parts).alias("b"), F.xxhash64(*parts).alias("h")).where(f"pmod(h, {THINNED}) = 0")
+    bounds = thinned.groupBy(F.expr(f"pmod(shiftright(h, 16), {RANGES})")).agg(F.min_by("b", "h").alias("b"))
+    bounds = bounds.agg(F.array_sort(F.collect_list("b"), order))
+
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(RANGES.bit_length()))])
+    found = _fresh(df, "_bounds")
+
+    def place_among(row: Column) -> Column:
+        """How many bounds sort before the row, by halving."""
+        bound = lambda i: fields(F.get(row.getField(found), i))
+        return F.aggregate(widths, F.lit(0), lambda at, k: at + F.when(_before(bound(at + k - 1), fields(row), down), k).otherwise(0))
+
+    def placed(frame: DataFrame, *more: Column) -> DataFrame:
+        # The bounds are named once, inside an array, so that the projections become one and all
+        # comparisons see the same value. As a column of their own they are copied for each row.
+        frame = frame.select(*more, *parts, bounds.scalar().alias(found))
+        return frame.select(*more, F.transform(F.array(F.struct(found, *parts)), place_among)[0].alias(range_))
+
     # Two frames over the same rows: the counts need the keys only.
-    only = df.selectExpr(*[f"{k.sql} AS {n}" for n, k in zip(names, keys, strict=True)])
-    rows = df.selectExpr(*[f"{k.sql} AS {n}" for n, k in zip(names, keys, strict=True)], f"struct({columns}) AS r")
-    bounds = spark.sql(
-        f"""
-        SELECT array_sort(collect_list(b), (x, y) -> CASE WHEN {_before(keys, "x", "y")} THEN -1
-                 WHEN {_before(keys, "y", "x")} THEN 1 ELSE 0 END) AS bounds
-        FROM (SELECT min_by(struct({listed}), h) AS b
-              FROM (SELECT {listed}, xxhash64({listed}) AS h FROM {{only}})
-              WHERE pmod(h, {THINNED}) = 0 GROUP BY pmod(shiftright(h, 16), {RANGES}))
-        """,
-        only=only,
-    )
-    steps = RANGES.bit_length()
-    middle = "CAST((s.lo + s.hi) DIV 2 AS INT)"
-    # How many bounds sort before the row, by halving.
-    place = f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(bounds)),
-        (s, i) -> CASE WHEN s.lo >= s.hi THEN s
-          WHEN {_before(keys, f"element_at(bounds, {middle} + 1)", "k")} THEN named_struct('lo', {middle} + 1, 'hi', s.hi)
-          ELSE named_struct('lo', s.lo, 'hi', {middle}) END,
-        s -> s.lo)"""
-
-    def placed(frame: DataFrame, *more: str) -> DataFrame:
-        with_bounds = spark.sql(
-            f"SELECT {', '.join([listed, *more])}, struct({listed}) AS k, (SELECT bounds FROM {{bounds}}) AS bounds FROM {{frame}}",
-            frame=frame, bounds=bounds,
-        )
-        return with_bounds.selectExpr(*names, *more, f"{place} AS _range")
-
-    starts = placed(only).groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = placed(only).groupBy(F.col(range_).alias(of)).agg(F.count("*").alias(size))
     # A row per range in both: the sums and the join see at most RANGES + 1 rows.
-    starts = starts.selectExpr("_range AS _of", "sum(_n) OVER (ORDER BY _range) - _n AS _start")
-    inside = placed(rows, "r").selectExpr("r", "_range", f"row_number() OVER (PARTITION BY _range ORDER BY {order}) - 1 AS _place")
-    joined = inside.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
-    return joined.select("r.*", (F.col("_start") + F.col("_place")).cast("bigint").alias(name))
+    starts = starts.select(of, (F.sum(size).over(Window.orderBy(of)) - F.col(size)).alias(start))
+    inside = Window.partitionBy(range_).orderBy(*[k.order() for k in keys])
+    rows = placed(keyed, *columns).withColumn(place, F.row_number().over(inside) - 1)
+    joined = rows.join(F.broadcast(starts), F.col(range_) == F.col(of))
+    return joined.select(*columns, (F.col(start) + F.col(place)).cast("bigint").alias(name))

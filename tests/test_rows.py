@@ -175,3 +175,10 @@ def test_seeks_by_arrays_structs_and_maps(spark, sorts):
     whole = [str(r) for r in state.page(0, 60).collect()]
     assert len(whole) == 60
     assert [str(r) for p in state.pages(9) for r in p.rows] == whole
+
+
+def test_bounds_of_row_numbers_are_no_column(spark):
+    """As a column, all bounds are copied for each row."""
+    numbered = ties(spark, name="ties_bounds").sort("k", "desc").sort("s", "asc").numbered("row")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(" in plan and "bounds#" not in plan
