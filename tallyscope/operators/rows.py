@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from itertools import groupby, takewhile
+from itertools import groupby, islice, takewhile
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -154,6 +154,16 @@ def _in_utc(value: object, dtype: T.DataType) -> object:
     return value
 
 
+def _from_sql(keys: list[SortKey], values: list[str | None]) -> tuple[str, str]:
+    """Which rows equal ``values``, and which sort after them, with a bound on the leading key alone."""
+    same = " AND ".join(_equal_sql(k, v) for k, v in zip(keys, values, strict=True))
+    after, lead = after_sql(keys, values), keys[0]
+    if values[0] is not None:
+        sign = "<=" if lead.descending else ">="
+        after = f"({after}) AND ({lead.sql} {sign} {values[0]} OR {lead.sql} IS NULL)"
+    return same, after
+
+
 def rows_after(
     df: DataFrame, keys: list[SortKey], last: Row, size: int = PAGE, shown: int = 1
 ) -> DataFrame:
@@ -163,15 +173,8 @@ def rows_after(
     are counted, and those beyond the ``shown`` ones given so far come first. The
     cost does not grow with the depth, and the leading key's bound can reach the scan.
     """
-    values = _key_literals(df, keys, last)
-    later = df.where(after_sql(keys, values))
-    lead = keys[0]
-    if values[0] is not None:
-        sign = "<=" if lead.descending else ">="
-        later = later.where(f"{lead.sql} {sign} {values[0]} OR {lead.sql} IS NULL")
-    same = " AND ".join(
-        _equal_sql(k, v) for k, v in zip(keys, values, strict=True)
-    )
+    same, after = _from_sql(keys, _key_literals(df, keys, last))
+    later = df.where(after)
     copies = df.where(same).agg(F.count("*").alias("n"), F.any_value(F.struct("*")).alias("r"))
     rest = F.greatest(F.least(F.col("n") - shown, F.lit(size)), F.lit(0)).cast("int")
     again = copies.select(F.explode(F.array_repeat("r", rest)).alias("r")).select("r.*")
@@ -185,8 +188,14 @@ class Page:
     last: bool
 
 
+# So many pages are sought one by one, each by scans of its own.
+SOUGHT = 8
+
+
 def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page]:
-    """All pages in order, each by a seek; the driver holds one page and the next."""
+    """All pages in order. The first ``SOUGHT`` come by seeks; who goes on has the rest sorted
+    once, so that the cost does not grow with the number of pages. The driver holds a page and
+    the next, later a page and one partition of the sorted rows."""
     held, first, shown = page(df, keys, 0, size).collect(), 0, 0
     while True:
         if held:
@@ -196,6 +205,8 @@ def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page
             yield Page(first, held, True)
             return
         before = held[-1]
+        if first == SOUGHT * size:
+            break
         following = rows_after(df, keys, before, size, shown).collect()
         yield Page(first, held, not following)
         if not following:
@@ -203,6 +214,23 @@ def pages(df: DataFrame, keys: list[SortKey], size: int = PAGE) -> Iterator[Page
         held, first = following, first + size
         if repr(held[0]) != repr(before):  # NaN is equal to NaN here
             shown = 0
+    same, later = _from_sql(keys, _key_literals(df, keys, before))
+    rest = islice(ordered(df.where(f"({same}) OR ({later})"), keys).toLocalIterator(), shown, None)
+    while held:
+        following = list(islice(rest, size))
+        yield Page(first, held, not following)
+        held, first = following, first + size
+
+
+def page_ends(df: DataFrame, keys: list[SortKey], size: int = PAGE, *more: Column) -> DataFrame:
+    """A row per page of the whole view: ``first_row``, ``n_rows``, ``last_page`` and ``more`` aggregates of its rows.
+
+    No page comes to the driver; the rows are numbered, and the pages counted by number."""
+    row = _fresh(df, "_row")
+    paged = number_rows(df, keys, row).groupBy((F.col(row) - F.col(row) % size).alias("first_row"))
+    paged = paged.agg(F.count("*").alias("n_rows"), *more)
+    last = F.col("first_row") + F.col("n_rows") == df.agg(F.count("*")).scalar()
+    return paged.select("first_row", "n_rows", last.alias("last_page"), *paged.columns[2:])
 
 
 # Of so many buckets of the keys' hashes each gives one key, and one hash in

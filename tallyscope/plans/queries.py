@@ -1068,8 +1068,7 @@ def column_names_part(spark, folder):
 def page_ends(spark, folder):
     """Where each page of the whole view begins, and which is the last."""
     s = session(spark, folder, "customer").sort("c_acctbal", "desc")
-    ends = [(p.first, len(p.rows), p.last, min(r["c_custkey"] for r in p.rows)) for p in s.pages(400)]
-    return spark.createDataFrame(ends, "first_row bigint, n_rows bigint, last_page boolean, low bigint")
+    return s.page_ends(400, F.min("c_custkey").alias("low"))
 
 
 @query(

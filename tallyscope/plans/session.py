@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 from tallyscope.functions.columns import CATEGORY, field, role, roles
 from tallyscope.functions.display import preview
@@ -160,6 +160,10 @@ class Session:
         seen = self.selection.apply(self.base)
         return rows.pages(seen, self._total(), size)
 
+    def page_ends(self, size: int = rows.PAGE, *more: Column) -> DataFrame:
+        """A row per page: ``first_row``, ``n_rows``, ``last_page`` and ``more`` aggregates of its rows."""
+        return rows.page_ends(self.selection.apply(self.base), self._total(), size, *more)
+
     def numbered(self, name: str = "row") -> DataFrame:
         """All rows with their zero-based place in the total order."""
         return rows.number_rows(self.selection.apply(self.base), self._total(), name)

@@ -182,3 +182,30 @@ def test_bounds_of_row_numbers_are_no_column(spark):
     numbered = ties(spark, name="ties_bounds").sort("k", "desc").sort("s", "asc").numbered("row")
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(array(" in plan and "bounds#" not in plan
+
+
+def test_pages_beyond_the_sought_ones_are_sorted_once(spark, monkeypatch):
+    import tallyscope.operators.rows as module
+
+    seeks = []
+    sought = module.rows_after
+    monkeypatch.setattr(module, "rows_after", lambda *a: seeks.append(1) or sought(*a))
+    s = ties(spark, name="ties_many").sort("k", "desc").sort("x", "asc")
+    pages = list(s.pages(9))
+    assert len(seeks) <= module.SOUGHT
+    expected = text(order(s.base.collect(), {"k": "desc", "x": "asc"}))
+    assert text(r for p in pages for r in p.rows) == expected
+    assert [(p.first, len(p.rows), p.last) for p in pages] == [(i, min(9, 487 - i), i == 486) for i in range(0, 487, 9)]
+    # copies on both sides of the place where the seeks end
+    same = Session.of(spark, spark.sql("SELECT id DIV 60 AS k FROM range(120)"), "same_many").sort("k", "asc")
+    assert [r.k for p in same.pages(6) for r in p.rows] == [0] * 60 + [1] * 60
+
+
+def test_ends_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    s = ties(spark, name="ties_ends").sort("k", "desc")
+    for size in (9, 487, 500):
+        ends = sorted(tuple(r) for r in s.page_ends(size, F.count("k").alias("ks")).collect())
+        pages = [(p.first, len(p.rows), p.last, sum(r.k is not None for r in p.rows)) for p in s.pages(size)]
+        assert ends == pages
