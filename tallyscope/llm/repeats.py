@@ -19,6 +19,8 @@ from tallyscope.llm.shingles import MIX, mixed
 WINDOW, GRAM = 100, 20
 #: Starts looked at together in one text; bytes sorted together in a task.
 STEP, CHUNK = 1 << 20, 1 << 16
+#: Bits for a place among the grams looked at together.
+_PLACE = np.uint64((1 << 21) - 1)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -41,18 +43,18 @@ def _grams(data: np.ndarray) -> np.ndarray:
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The starts of all windows of `data`, cut into runs with a common anchor: first start, number of starts, hash.
 
-    A window's anchor is the last of its grams with the smallest hash, so equal windows have it at the same place.
+    A window's anchor is the last of its grams with the smallest hash (by all but its 21 lowest bits), so equal windows have it at the same place.
     """
     lows, sizes, hashes = [], [], []
     for at in range(0, len(data) - WINDOW + 1, STEP):
         g = _grams(np.frombuffer(data, np.uint8, min(STEP + WINDOW - 1, len(data) - at), at))
-        wide = WINDOW - GRAM + 1
-        best, k = np.arange(len(g)), 1
+        # the hash's upper bits and, below them, the place from the end: one minimum finds both
+        best, wide, k = (g & ~_PLACE) | (_PLACE - np.arange(len(g), dtype=np.uint64)), WINDOW - GRAM + 1, 1
         while k < wide:
             step = min(k, wide - k)
-            left, right = best[: len(best) - step], best[step:]
-            best = np.where(g[right] <= g[left], right, left)
+            best = np.minimum(best[: len(best) - step], best[step:])
             k += step
+        best = (_PLACE - (best & _PLACE)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
         lows.append(first + at)
         sizes.append(np.diff(np.append(first, len(best))))
@@ -137,39 +139,87 @@ def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per anchor, without those that come again in their text."""
+    """A row per anchor. Those that come again in their text are joined to runs of windows, with `low` as -1 - start."""
     for b in batches:
-        rows, found = [], [[np.zeros(0, np.int64)] * 3]
-        for i, text in enumerate(b.column(2)):
-            low, _, gram, said, again = _surroundings(text.as_py().encode("utf-8", "surrogatepass"))
-            found.append([gram[~again], said[~again], low[~again]])
-            rows.append(np.full(len(found[-1][0]), i))
+        rows, found = [], [[np.zeros(0, np.int64)] * 4]
+        for i, (id_, text) in enumerate(zip(b.column(0), b.column(2), strict=True)):
+            low, size, gram, said, again = _surroundings(text.as_py().encode("utf-8", "surrogatepass"))
+            found.append([gram[~again], said[~again], low[~again], size[~again]])
+            if again.any():
+                runs = runs_of(np.repeat(again, size), 0)
+                starts = np.array([r["start"] for r in runs], np.int64)
+                sizes = np.array([r["end"] for r in runs], np.int64) - starts - (WINDOW - 1)
+                # no anchor's hash, but one of the document, so that these rows are spread
+                spread = np.full(len(runs), xxhash.xxh3_64_intdigest(repr(id_.as_py())), np.uint64).view(np.int64)
+                found.append([spread, spread, -1 - starts, sizes])
+                rows.append(np.full(len(low) - again.sum() + len(runs), i))
+            else:
+                rows.append(np.full(len(low), i))
         at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
         columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *columns], ["id", "t", "gram", "said", "low"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *columns], ["id", "t", "gram", "said", "low", "size"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by hash, surroundings and place: those whose hash has come at two places.
 
     The first with some surroundings is to be compared, if others have the same hash; all after it are copies.
+    Runs within a text are copies already and pass.
     """
-    gram = said = first = alone = None
+    names = ["id", "t", "low", "gram", "size", "compare"]
+    last = first = alone = None  # hash and surroundings, the place of their first row, and that row if its hash has no other yet
     for b in batches:
-        out: list[tuple] = []
-        for i, t, g, x, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if g != gram:
-                gram, said, first = g, x, (i, t, low)
-                alone = (i, t, low, g, True)
-            elif x != said:
-                if alone:
-                    out.append(alone)
-                    alone = None
-                said, first = x, (i, t, low)
-                out.append((i, t, low, g, True))
-            elif (i, t, low) != first:  # else one more row of the same document
-                out.append((i, t, low, g, False))
-        yield _batch(out, [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["id", "t", "low", "gram", "compare"])
+        b = pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 4, 2, 5, 3)], [*names[:5], "said"])
+        low = b.column(2).to_numpy()
+        if (low < 0).any():
+            runs = b.filter(pa.array(low < 0))
+            columns = [runs.column(0), runs.column(1), pa.array(-1 - runs.column(2).to_numpy()), runs.column(3), runs.column(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(runs.num_rows, bool))], names)
+            b = b.filter(pa.array(low >= 0))
+        n = b.num_rows
+        if not n:
+            continue
+        gram, said = b.column(3).to_numpy(), b.column(5).to_numpy()
+        other = np.concatenate([[last is None or last[0] != gram[0]], gram[1:] != gram[:-1]])
+        fresh = other | np.concatenate([[last is None or last[1] != said[0]], said[1:] != said[:-1]])
+        heads = np.flatnonzero(fresh)
+        if alone is not None and len(heads):
+            if not other[heads[0]]:
+                yield alone
+            alone = None
+        # the first rows: compared where their hash has other surroundings before or after them
+        compare = np.zeros(n, bool)
+        compare[heads] = ~other[heads]
+        compare[heads[:-1]] |= ~other[heads[1:]]
+        copies = ~fresh & ~_same_place(b, fresh)
+        if first is not None:
+            for i in range(heads[0] if len(heads) else n):
+                if tuple(b.column(k)[i].as_py() for k in range(3)) != first:
+                    break
+                copies[i] = False  # one more row of the same document
+        at = np.flatnonzero(compare | copies)
+        if len(at):
+            taken = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:5], pa.array(compare[at])], names)
+        if len(heads):
+            k = int(heads[-1])
+            first = tuple(b.column(c)[k].as_py() for c in range(3))
+            if other[k]:
+                alone = pa.RecordBatch.from_arrays([*b.take(pa.array([k])).columns[:5], pa.array([True])], names)
+        last = gram[-1], said[-1]
+
+
+def _same_place(b: pa.RecordBatch, fresh: np.ndarray) -> np.ndarray:
+    """Which rows have the place of the one that their group of rows begins with; those of a group begun earlier have not."""
+    n = b.num_rows
+    head = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+    begun, head = head >= 0, np.maximum(head, 0)
+    low, t = b.column(2).to_numpy(), b.column(1).to_numpy()
+    same = begun & ~fresh & (low == low[head]) & (t == t[head])
+    near = np.flatnonzero(same)
+    mine, its = (b.column(0).take(pa.array(x)).to_pylist() for x in (near, head[near]))
+    same[near] = [x == y for x, y in zip(mine, its, strict=True)]
+    return same
 
 
 def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -191,19 +241,20 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The former needs no comparison; it has the hash of some anchor of the text, so that such rows are spread.
     """
+    names = ["gram", "id", "t", "low", "said", "runs"]
     for b in batches:
         out = []
-        for i, t, text, met in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            low, size, gram, _, again = _surroundings(data)
-            kinds = {x["low"]: x["compare"] for x in met or []}
-            copied = again | np.fromiter((kinds.get(a) is False for a in low.tolist()), bool, len(low))
-            if copied.any():
-                out.append((int(gram[copied][0]), i, t, -1, None, runs_of(np.repeat(copied, size), 0)))
-            for a, n, g, r in zip(low.tolist(), size.tolist(), gram.tolist(), again.tolist(), strict=True):
-                if not r and kinds.get(a):
-                    out.append((g, i, t, a, data[a : a + n + WINDOW - 1], None))
-        yield _batch(out, [pa.int64(), b.column(0).type, pa.int64(), pa.int64(), pa.binary(), _RUNS_ARROW], ["gram", "id", "t", "low", "said", "runs"])
+        lists = b.column(3)
+        parts = [lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        for i, t, text, a, z in zip(*(b.column(k).to_pylist() for k in range(3)), *(lists.offsets.to_numpy()[x].tolist() for x in (slice(-1), slice(1, None))), strict=True):
+            low, gram, size, compare = (x[a:z] for x in parts)
+            if not compare.all():
+                runs = merged([{"start": s, "end": s + n + WINDOW - 1} for s, n in zip(low[~compare].tolist(), size[~compare].tolist(), strict=True)])
+                out.append((int(gram[~compare][0]), i, t, -1, None, runs))
+            if compare.any():
+                data = text.encode("utf-8", "surrogatepass")
+                out.extend((g, i, t, s, data[s : s + n + WINDOW - 1], None) for s, g, n in zip(low[compare].tolist(), gram[compare].tolist(), size[compare].tolist(), strict=True))
+        yield _batch(out, [pa.int64(), b.column(0).type, pa.int64(), pa.int64(), pa.binary(), _RUNS_ARROW], names)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +336,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = [id_field, T.StructField("t", long)]
     sort = [F.col("id").asc_nulls_last(), "t", "low"]
 
-    found = rows.mapInArrow(_marked, T.StructType([*place, *[T.StructField(c, long) for c in ("gram", "said", "low")]]))
+    found = rows.mapInArrow(_marked, T.StructType([*place, *[T.StructField(c, long) for c in ("gram", "said", "low", "size")]]))
     met = found.repartition("gram").sortWithinPartitions("gram", "said", *sort)
-    met = met.mapInArrow(_met, T.StructType([*place, T.StructField("low", long), T.StructField("gram", long), T.StructField("compare", T.BooleanType())]))
-    met = met.groupBy(F.col("id").alias("id_"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("low", "compare")).alias("met"))
+    met = met.mapInArrow(_met, T.StructType([*place, *[T.StructField(c, long) for c in ("low", "gram", "size")], T.StructField("compare", T.BooleanType())]))
+    met = met.groupBy(F.col("id").alias("id_"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("low", "gram", "size", "compare")).alias("met"))
     same = F.col("id") == F.col("id_") if unique else F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
 
     # one plan from here on, in which both joins read the same shuffled texts

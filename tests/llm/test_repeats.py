@@ -108,3 +108,42 @@ def test_nulls_repeated_rows_shared_ids_and_empty_tables(spark):
     assert sorted(left[7]) == sorted([b"", b"", first_a, brute([b + "end", b])[1][1]])
     assert sorted(left[None]) == sorted([b"", b"", b"x" * 99]) and left[3] == [brute([b + "end"])[0][1]]
     assert found_by(spark, []) == []
+
+
+def test_met_anchors_do_not_depend_on_batches(spark):
+    """Against a plain loop over the rows, with groups that go on over any border of batches."""
+    import pyarrow as pa
+
+    random.seed(5)
+    rows = [(random.choice([1, 1, 1, 2, 3]), random.choice([1, 1, 2]), random.choice([None, *range(4)]), 0, random.randrange(3)) for _ in range(300)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[4]))
+    expected = set()
+    for g, x, i, t, low in rows:
+        first = next(r for r in rows if r[:2] == (g, x))
+        if (i, t, low) != first[2:]:
+            expected.add((i, t, low, g, 120, False))
+        elif len({r[1] for r in rows if r[0] == g}) > 1:
+            expected.add((i, t, low, g, 120, True))
+    rows.append((9, 9, 7, 0, -1 - 33))  # a run found within its text passes
+    expected.add((7, 0, 33, 9, 120, False))
+
+    def batch(part):
+        g, x, i, t, low = (list(c) for c in zip(*part, strict=True))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (i, t, g, x, low, [120] * len(g))], ["id", "t", "gram", "said", "low", "size"])
+
+    for size in (1, 2, 7, 1000):
+        met = list(repeats._met(batch(rows[k : k + size]) for k in range(0, len(rows), size)))
+        assert {tuple(r.values()) for b in met for r in b.to_pylist()} == expected
+
+
+def test_surroundings_are_hashed_once_per_text(spark, monkeypatch):
+    """The look-up of met anchors cuts their bytes out and finds no anchors again."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "_surroundings", None)
+    met = [[{"low": 5, "gram": 1, "size": 3, "compare": True}, {"low": 0, "gram": 2, "size": 4, "compare": False}], None]
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("gram", pa.int64()), ("size", pa.int64()), ("compare", pa.bool_())]))
+    text = "".join(map(str, range(200)))
+    b = pa.record_batch([pa.array([1, 2]), pa.array([0, 0]), pa.array([text, text]), pa.array(met, kind)], ["id", "t", "text", "met"])
+    out = [tuple(r.values()) for x in repeats._looked_up([b]) for r in x.to_pylist()]
+    assert out == [(2, 1, 0, -1, None, [{"start": 0, "end": 3 + WINDOW}]), (1, 1, 0, 5, text[5 : 7 + WINDOW].encode(), None)]
