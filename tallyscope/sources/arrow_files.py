@@ -119,7 +119,12 @@ def write_arrow(df: DataFrame, folder: str) -> None:
         size = system.get_file_info(name).size
         yield pa.record_batch([pa.array([path]), pa.array([rows]), pa.array([size], pa.int64())], ["path", "rows", "bytes"])
 
-    df.mapInArrow(written, "path string, rows long, bytes long").write.json(f"{folder.rstrip('/')}/{MANIFEST}")
+    row, manifest = "path string, rows long, bytes long", f"{folder.rstrip('/')}/{MANIFEST}"
+    df.mapInArrow(written, row).write.json(manifest)
+    # Rows known to be none are given to no task; one file still has their schema.
+    if df.sparkSession.read.schema(row).json(manifest).isEmpty():
+        one = df.sparkSession.range(0, 1, 1, 1)
+        one.mapInArrow(lambda batches: written(b for b in batches if not b.num_rows), row).write.mode("append").json(manifest)
 
 
 def read_arrow_result(spark: SparkSession, folder: str) -> DataFrame:
