@@ -7,6 +7,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 #: Fixed values of the file format: piece types, and the escape of the blank.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -43,20 +44,31 @@ Tree = dict[str, list]
 
 
 class Kept(dict):
-    """Results of `make` by key, to save time: the last `MEMO` met, and as many before; those of long keys are not kept."""
+    """Results of `make` by key, to save time: the last `ROOM` bytes, and as many before, of keys that were met twice.
+
+    A worker keeps them from task to task, and an executor may have more workers than tasks, so they must stay small. Most
+    words of a corpus are met once and need no room. Results of long keys are not kept.
+    """
 
     def __init__(self, make: Callable[[str], object]):
-        self.make, self.older = make, {}
+        self.make, self.older, self.size, self.met = make, {}, 0, bytearray(MET)
 
     def __missing__(self, key: str):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= SHORT:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
+            if len(key) > SHORT:
+                return value
+            at = hash(key) % MET
+            if not self.met[at]:
+                self.met[at] = 1
+                return value
+        size = getsizeof(key) + getsizeof(value) + SLOT
+        if self.size + size > ROOM:
+            self.older, self.size, self.met = dict(self), 0, bytearray(MET)
+            self.clear()
+        self.size += size
+        self[key] = value
         return value
 
 
@@ -155,8 +167,10 @@ class Vocabulary:
         return 1 if char in self.ids else len(char.encode())
 
 
-#: Entries of each table of results that are only kept to save time; what is forgotten is made again.
-MEMO = 200_000
+#: Bytes of each table of results that are only kept to save time, and of an entry beside its key and value; marks of the
+#: keys met once; entries of the pairs. What is forgotten is made again.
+ROOM, SLOT = 16 << 20, 64
+MET = 1 << 20
 PAIRS = 400_000
 #: Longest key of a kept result.
 SHORT = 40

@@ -83,7 +83,8 @@ class Encoder:
         return b"".join(map(self.packed_piece.__getitem__, self.shortest_path(segment)))
 
     def _packed_word(self, word: str) -> bytes:
-        return b"".join(map(self.segments.__getitem__, self.v.segments.findall(SPACE + word)))
+        segments = self.v.segments.findall(SPACE + word)
+        return self._packed_segment(segments[0]) if len(segments) == 1 else b"".join(map(self.segments.__getitem__, segments))
 
     def _packed_piece(self, piece: str) -> bytes:
         """A piece's id, or those of a character's bytes, as 32-bit numbers."""
@@ -141,20 +142,27 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def _encoding(shared, passed: int = 1):
+def _with_tokens(coder: Encoder, b: pa.RecordBatch, passed: int, names: list[str]) -> pa.RecordBatch:
+    texts = b.column(b.num_columns - 1).to_pylist()
+    packed = [coder.packed(t or "") for t in texts]
+    same = [coder.decode(np.frombuffer(p, np.int32)) == (t or "") for p, t in zip(packed, texts, strict=True)]
+    ends = pa.array([len(p) // 4 for p in packed], pa.int64())
+    columns = [*b.columns[:passed], ends, _lists(packed), pa.array(same, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, [*b.schema.names[:passed], *names])
+
+
+def _encoding(shared, passed: int = 1, names: list[str] | None = None):
     """A function over batches whose last column is the text: the `passed` first columns, then those of `_TOKENS`."""
+    names = names or [a.name for a in _TOKENS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = compiled(Encoder, shared.value)
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 1000):
-                b = whole_batch.slice(at, 1000)
-                texts = b.column(b.num_columns - 1).to_pylist()
-                packed = [coder.packed(t or "") for t in texts]
-                same = [coder.decode(np.frombuffer(p, np.int32)) == (t or "") for p, t in zip(packed, texts, strict=True)]
-                ends = pa.array([len(p) // 4 for p in packed], pa.int64())
-                names = [*b.schema.names[:passed], "n_tokens", "token_ids", "round_trip"]
-                yield pa.RecordBatch.from_arrays([*b.columns[:passed], ends, _lists(packed), pa.array(same, pa.bool_())], names)
+                yield _with_tokens(coder, whole_batch.slice(at, 1000), passed, names)
+            del whole_batch
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()  # the worker may lie idle beside others while the stage goes on
 
     return run
 
@@ -173,11 +181,17 @@ def decoded(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str
 
 
 def with_tokens(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, with `token_ids`, `n_tokens` and `round_trip` (names that are taken get a `_` appended)."""
+    """All columns of `docs`, with `token_ids`, `n_tokens` and `round_trip` (names that are taken get a `_` appended).
+
+    A text that is a column of strings is handed to Python once, and is its own result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row, text = fresh(docs, "row", "body")
-    names = fresh(docs, "n_tokens", "token_ids", "round_trip")
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(row), F.coalesce(docs[text_col], F.lit("")).alias(text))
-    schema = T.StructType([packed.schema[row], *_TOKENS])
-    out = packed.mapInArrow(_encoding(shared), schema)
-    return out.select(f"{row}.*", *[F.col(a.name).alias(n) for a, n in zip(_TOKENS, names, strict=True)])
+    (body,) = fresh(docs, "body")
+    names = fresh(docs, *[a.name for a in _TOKENS])
+    once = text_col in docs.columns and isinstance(docs.schema[text_col].dataType, T.StringType)
+    others = [docs[f"`{c}`"] for c in docs.columns if not once or c != text_col]
+    packed = docs.select(*others, docs[f"`{text_col}`"] if once else docs[text_col].cast("string").alias(body))
+    passed = len(docs.columns)
+    schema = T.StructType([*packed.schema.fields[:passed], *[T.StructField(n, a.dataType) for a, n in zip(_TOKENS, names, strict=True)]])
+    out = packed.mapInArrow(_encoding(shared, passed, names), schema)
+    return out.select(*[f"`{c}`" for c in [*docs.columns, *names]])

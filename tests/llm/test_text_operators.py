@@ -6,6 +6,7 @@ import html
 import random
 import re
 from collections import Counter
+from sys import getsizeof
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from tallyscope.llm import decontamination, near_dups, personal_data, quality_mo
 from tallyscope.llm.components import components
 from tallyscope.llm.html_text import main_text, page_texts
 from tallyscope.llm.license_scan import license_scan
-from tallyscope.llm.pieces import Vocabulary
+from tallyscope.llm.pieces import Kept, Vocabulary
 from tallyscope.llm.quality_rules import passing, quality_report
 from tallyscope.llm.queries import tokenizer
 from tallyscope.llm.sentence_pieces import Encoder, decoded, encoded, with_tokens
@@ -73,6 +74,35 @@ def test_chunks_compose_to_the_whole(library, monkeypatch):
         assert counter.total(text) == len(library.encode(text))
 
 
+def test_kept_results_are_bounded_in_bytes_and_by_meeting_a_key_twice():
+    kept = Kept(lambda key: key.encode())
+    keys = [f"{i:06}" + "😀" * 30 for i in range(120_000)]
+    for _ in range(2):
+        assert all(kept[key] == key.encode() for key in keys[:1000])
+    assert len(kept) > 900
+    for key in [k for k in keys for _ in range(2)]:
+        assert kept[key] == key.encode()
+    held = {**kept, **kept.older}
+    assert sum(getsizeof(k) + getsizeof(v) for k, v in held.items()) <= 40 << 20
+    once = Kept(str.upper)
+    for i in range(100_000):
+        assert once[f"a{i}"] == f"A{i}"
+    assert len(once) < 20_000
+
+
+def test_a_text_is_handed_over_once_and_keeps_its_place(spark):
+    df = spark.createDataFrame([("a b", 1, "x"), (None, 2, "y"), ("", 3, "z"), ("é ▁", 4, None)], "text string, doc_id long, `n_tokens` string")
+    out = with_tokens(df, tokenizer())
+    assert out.columns == ["text", "doc_id", "n_tokens", "n_tokens_", "token_ids", "round_trip"]
+    assert "body" not in out._jdf.queryExecution().toString()
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert [(rows[i]["text"], rows[i]["n_tokens"]) for i in (1, 2, 3, 4)] == [("a b", "x"), (None, "y"), ("", "z"), ("é ▁", None)]
+    assert [rows[i]["n_tokens_"] > 0 for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert [rows[i]["round_trip"] for i in (1, 2, 3, 4)] == [True, True, True, False]
+    numbers = with_tokens(df.select("doc_id"), tokenizer(), "doc_id")
+    assert numbers.columns == ["doc_id", "n_tokens", "token_ids", "round_trip"] and numbers.where("n_tokens > 0 AND round_trip").count() == 4
+
+
 def test_decoding_any_ids(spark, library):
     rng = random.Random(5)
     lists = [[rng.choice([0, 1, 2, rng.randint(3, 258), rng.randint(259, 31_999)]) for _ in range(rng.randint(0, 12))] for _ in range(400)]
